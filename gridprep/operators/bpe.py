@@ -13,7 +13,7 @@ from gridprep import schemas
 from gridprep.constants import BLANK, BOS, EOS, PAD, ROW_START, UNK
 from gridprep.functions.text import words
 from gridprep.operators.vocab import encode_ids
-from gridprep.session import ensure_checkpoint_dir
+from gridprep.session import ensure_checkpoint_dir, shuffle_partitions
 
 BPE_SPECIAL_TOKENS = [BOS, EOS, UNK, PAD, ROW_START, BLANK]
 CODE_POINTS = 0x110000
@@ -49,6 +49,15 @@ def pair_counts(symbols, column="symbols"):
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _joined(ids):
+    """Ids as text in which each has its own blanks, so that neighbours can be replaced."""
+    return F.concat(F.lit(" "), F.array_join(ids.cast("array<string>"), "  "), F.lit(" "))
+
+
+def _parted(symbols):
+    return F.split(F.trim(symbols), "  ").cast("array<int>")
+
+
 def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_length=None,
               special=BPE_SPECIAL_TOKENS, max_merges=None):
     """Learn merges from the distinct words of a corpus.
@@ -60,7 +69,8 @@ def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_len
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    counted = word_counts(df, text).checkpoint()
+    # the loop below reads the words again and again, so they are spread over all tasks once
+    counted = word_counts(df, text).repartition(shuffle_partitions(spark), "word").checkpoint()
     letters = counted.select(F.explode(F.split("word", "")).alias("c")).distinct().orderBy("c")
     # there are no more characters than code points
     alphabet = [r["c"] for r in letters.limit(CODE_POINTS).collect()]
@@ -69,7 +79,7 @@ def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_len
     base = spark.createDataFrame([(c, ids[c]) for c in alphabet], schemas.VOCAB)
     state = (
         encode_ids(counted.withColumn("_c", F.split("word", "")), base, ["word"], "_c", "_ids", limit=CODE_POINTS)
-        .select("n", F.array_join(F.col("_ids").cast("array<string>"), " ").alias("symbols"))
+        .select("n", _joined(F.col("_ids")).alias("symbols"))
         .checkpoint()
     )
     merges, pending = [], 0
@@ -78,9 +88,8 @@ def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_len
         return len(tokens) >= vocab_size or len(merges) == max_merges
 
     while not full():
-        found = pair_counts(
-            state.select("n", F.split("symbols", " ").cast("array<int>").alias("symbols"))
-        )
+        open_words = state.where(F.contains("symbols", F.lit("  ")))
+        found = pair_counts(open_words.select("n", _parted(F.col("symbols")).alias("symbols")))
         if max_token_length is not None:
             n_bytes = F.lit([len(t.encode()) for t in tokens])
             n_chars = F.lit([len(t) for t in tokens])
@@ -103,13 +112,14 @@ def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_len
                 tokens.append(merged)
             merges.append((a, b, ids[merged]))
             state = state.withColumn(
-                "symbols", F.regexp_replace("symbols", rf"(?<!\S){a} {b}(?!\S)", str(ids[merged]))
+                "symbols", F.replace("symbols", F.lit(f" {a}  {b} "), F.lit(f" {ids[merged]} "))
             )
             pending += 1
             if full() or not is_new:
                 break
         if pending >= CHECKPOINT_EVERY:
-            state, pending = state.checkpoint(), 0
+            # a word that has become one token has no pairs any more
+            state, pending = state.where(F.contains("symbols", F.lit("  "))).checkpoint(), 0
     return BpeModel(tokens, merges, list(special))
 
 

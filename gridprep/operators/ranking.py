@@ -10,28 +10,32 @@ from gridprep.session import shuffle_partitions
 OVERSAMPLE = 8
 
 
-def _split_points(df, key, n):
+def _split_points(df, order, n):
     """`n - 1` keys that cut the table into about equal parts, from the keys with the smallest
-    hashes. The sample only balances the parts; the ranks do not depend on it."""
-    sample = (
-        df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(OVERSAMPLE * n)
-    )
-    every = sample.agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    return every.select(
-        F.filter("keys", lambda k, i: (i + 1) % OVERSAMPLE == 0).alias("points")
-    ).scalar()
+    hashes. At most OVERSAMPLE * n keys are fetched. The sample only balances the parts; the
+    ranks do not depend on it."""
+    keys = df.select(*order)
+    sample = keys.orderBy(F.xxhash64(*order), *order).limit(OVERSAMPLE * n)
+    every = sample.orderBy(*order).collect()
+    return [
+        F.struct(*[F.lit(value).cast(df.schema[c].dataType).alias(c) for c, value in zip(order, row)])
+        for row in every[OVERSAMPLE - 1::OVERSAMPLE]
+    ]
 
 
-def _part_of(key, points, n):
+def _part_of(key, points):
     """Number of points up to the key, looked up in two steps of about sqrt(n) comparisons."""
-    width = ceil(sqrt(n))
-    coarse = F.filter(points, lambda p, i: (i + 1) % width == 0)
+    if not points:
+        return F.lit(0)
+    width = ceil(sqrt(len(points)))
+    coarse = points[width - 1::width]
+    fine = F.array(*points)
 
     def locate(k):
+        steps = F.size(F.filter(F.array(*coarse), lambda p: p <= k)) if coarse else F.lit(0)
         return let(
-            F.size(F.filter(coarse, lambda p: p <= k)),
-            lambda c: c * width
-            + F.size(F.filter(F.slice(points, c * width + 1, F.lit(width)), lambda p: p <= k)),
+            steps * width,
+            lambda c: c + F.size(F.filter(F.slice(fine, c + 1, F.lit(width)), lambda p: p <= k)),
         )
 
     return let(key, locate)
@@ -47,7 +51,7 @@ def global_rank(df, order, out="rank", parts=None):
     """
     n = parts or shuffle_partitions(df.sparkSession)
     key = F.struct(*order)
-    located = df.withColumn("_part", _part_of(key, _split_points(df, key, n), n))
+    located = df.withColumn("_part", _part_of(key, _split_points(df, order, n)))
     sizes = located.groupBy("_part").count()
     starts = sizes.select(
         "_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start")

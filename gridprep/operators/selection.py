@@ -137,8 +137,8 @@ def token_masks(vocab, width=ROW_LENGTH - 1):
     """Ids allowed in each of the width + 65 classes of states."""
     sized = vocab.select("token", "id", token_length(F.col("token")).alias("_n"))
     room = sized.where(F.col("_n").between(1, width)).select(
-        F.concat(F.lit("room "), F.explode(F.sequence(F.col("_n"), F.lit(width)))).alias("_class"), "id"
-    )
+        F.explode(F.sequence(F.col("_n"), F.lit(width))).alias("_room"), "id"
+    ).select(F.concat(F.lit("room "), "_room").alias("_class"), "id")
     following = vocab.where(F.col("token").isin(ROW_TOKENS[1:])).select(
         F.concat(F.lit("next "), F.substring("token", 6, 2).cast("int")).alias("_class"), "id"
     )

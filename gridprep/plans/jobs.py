@@ -46,7 +46,9 @@ def grids_to_training_table(grids, metadata, context_length=CONTEXT_LENGTH, perm
 
 def augment_preview(images):
     """Pixel rows of every variant of the images that fit."""
-    return decode_palette(augment(fit_grid(encode_images(images))))
+    grids = encode_images(images).withColumn("name", swap_extension(F.col("name")))
+    pixels = decode_palette(augment(fit_grid(grids)))
+    return pixels.withColumn("name", swap_extension(F.col("name"), ".txt", ".png"))
 
 
 def augment_counts(images):

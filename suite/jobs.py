@@ -1 +1,127 @@
-QUERIES, ORACLES = {}, {}
+"""Whole jobs."""
+
+from pyspark.sql import functions as F
+
+from gridprep.functions.text import words
+from gridprep.plans import jobs as J
+from suite import fixtures as X
+from suite.keys import METADATA_CODES, SPECIES, IDENTITY, SPECIES_ROWS, metadata, metadata_codes
+
+
+def sprites(spark, sf):
+    return X.images(spark, sf).drop("sid")
+
+
+def surviving_tokens(spark, sf):
+    """Sprites that survive validation, with their tokens."""
+    grids = J.images_to_grids(sprites(spark, sf))
+    tokens = grids.select("generation", "game_name", "name", F.explode(words(F.col("data"))).alias("token"))
+    return tokens.groupBy("generation", "game_name", "name", "token").agg(F.count("*").alias("n"))
+
+
+def grids_job(spark, sf):
+    return J.images_to_grids(sprites(spark, sf), ["gen4"]).select("generation", "game_name", "name", F.md5("data").alias("digest"))
+
+
+def training_table(spark, sf):
+    return J.grids_to_training_table(X.grids(spark, sf).drop("sid"), metadata(spark, sf))
+
+
+def training_table_job(spark, sf):
+    train, _ = training_table(spark, sf)
+    arrays = ["input_ids", "labels", "attention_mask", "row_ids", "col_ids"]
+    return train.select(
+        "name", "generation", "game_name", "chunk", "color_shift", "identity_idx", "input_text",
+        F.md5("original_text").alias("original_text"),
+        *[F.md5(X.as_text(c)).alias(c) for c in arrays], *METADATA_CODES, X.as_text("name_chars").alias("name_chars"),
+    )
+
+
+def training_vocab(spark, sf):
+    return training_table(spark, sf)[1]
+
+
+def augment_preview_job(spark, sf):
+    pixels = J.augment_preview(sprites(spark, sf))
+    place = F.col("y") * 64 + F.col("x") + 1
+    return pixels.groupBy("name", "color_shift").agg(
+        F.count("*").alias("n"), *[F.sum(F.col(c).cast("long") * place).alias(c) for c in "rgb"]
+    )
+
+
+def augment_counts_job(spark, sf):
+    return J.augment_counts(sprites(spark, sf))
+
+
+def batches_job(spark, sf):
+    train, vocab = training_table(spark, sf)
+    batches, _, _ = J.training_to_batches(train, vocab)
+    return batches.select(
+        "batch", "n", X.as_text("identity_idx").alias("identity_idx"), X.as_text("color_shift").alias("color_shift"),
+        X.as_text("type1").alias("type1"), X.as_text("generation").alias("generation"),
+        F.md5(F.array_join(F.flatten("input_ids").cast("array<string>"), " ")).alias("ids"),
+    )
+
+
+QUERIES = {
+    "surviving_tokens": surviving_tokens,
+    "grids_job": grids_job,
+    "training_table_job": training_table_job,
+    "training_vocab": training_vocab,
+    "augment_preview_job": augment_preview_job,
+    "augment_counts_job": augment_counts_job,
+    "batches_job": batches_job,
+}
+
+VALID = X.GRID_TEXT + """,
+corner AS (SELECT sid FROM e WHERE y IN (0, h - 1) AND x IN (0, w - 1) GROUP BY sid HAVING bool_and(tok = '~')),
+bd AS (SELECT sid, tok, CASE WHEN y = 0 THEN 0 WHEN x = 0 THEN 1 WHEN x = w - 1 THEN 2 ELSE 3 END * 1000
+         + CASE WHEN y IN (0, h - 1) THEN x ELSE y END AS pos
+       FROM e WHERE (y IN (0, h - 1)) <> (x IN (0, w - 1))),
+md1 AS (SELECT sid, tok, row_number() OVER (PARTITION BY sid ORDER BY count(*) DESC, min(pos)) AS n FROM bd GROUP BY sid, tok),
+sh AS (SELECT sid FROM (SELECT sid, tok, count(*) AS n FROM e GROUP BY sid, tok) GROUP BY sid HAVING max(n) / sum(n) < 0.95),
+ok AS (SELECT sid FROM corner SEMI JOIN (SELECT sid FROM md1 WHERE n = 1 AND tok = '~') AS m USING (sid) SEMI JOIN sh USING (sid))
+"""
+
+TRAINING = X.VARIANTS + f""",
+corpus AS (SELECT DISTINCT tok FROM av WHERE x > 0), {X.VOCAB},
+tk AS (SELECT av.sid, name, generation, game_name, color_shift, y, x, CASE WHEN x = 0 THEN printf('[ROW_%02d]', y) ELSE tok END AS token,
+        CASE WHEN x = 0 THEN 4 + y ELSE id END AS id FROM av LEFT JOIN vocab ON vocab.token = av.tok),
+tx AS (SELECT name, generation, game_name, color_shift, string_agg(token, ' ' ORDER BY y, x) AS text,
+        string_agg(id, ' ' ORDER BY y, x) AS ids FROM tk GROUP BY name, generation, game_name, color_shift),
+ix AS (SELECT *, dense_rank() OVER (ORDER BY {IDENTITY}) - 1 AS identity_idx FROM tx),
+{SPECIES_ROWS},
+mt AS (SELECT ix.*, {metadata_codes('md')} FROM ix LEFT JOIN md ON CAST(md.id AS VARCHAR) = {SPECIES})
+"""
+PATTERN_ROWS = "(SELECT md5(string_agg(p // 64, ' ' ORDER BY p)) FROM range(4096) AS r(p))"
+PATTERN_COLS = "(SELECT md5(string_agg(CASE WHEN p % 64 = 0 THEN 64 ELSE p % 64 - 1 END, ' ' ORDER BY p)) FROM range(4096) AS r(p))"
+ONES = "(SELECT md5(string_agg(1, ' ')) FROM range(4096) AS r(p))"
+NAME_CODES = """array_to_string([CASE WHEN i <= length(stem) THEN ascii(stem[i]) ELSE 0 END for i in range(1, 17)], ' ')"""
+
+ORACLES = {
+    "surviving_tokens": f"""WITH {VALID} SELECT generation, game_name, name, tok AS token, count(*) AS n
+        FROM e JOIN ok USING (sid) JOIN nm USING (sid) GROUP BY ALL""",
+    "grids_job": f"""WITH {VALID} SELECT generation, game_name, name, md5(data) AS digest FROM grids SEMI JOIN ok USING (sid) WHERE generation = 'gen4'""",
+    "training_table_job": f"""WITH {TRAINING},
+        st AS (SELECT *, substr(regexp_replace(name, '(_shiny)?(_female)?(_frame2)?(_flip)?\\.txt$', ''), 1, 16) AS stem FROM mt)
+        SELECT name, generation, game_name, CAST(1 AS BIGINT) AS chunk, CAST(color_shift AS INT) AS color_shift, identity_idx,
+          substr(text, 1, 512) AS input_text, md5(text) AS original_text, md5(ids) AS input_ids, md5(ids) AS labels,
+          {ONES} AS attention_mask, {PATTERN_ROWS} AS row_ids, {PATTERN_COLS} AS col_ids, {', '.join(METADATA_CODES)},
+          {NAME_CODES} AS name_chars FROM st""",
+    "training_vocab": f"WITH {TRAINING} SELECT token, id FROM vocab",
+    "augment_preview_job": f"""WITH {X.VARIANTS},
+        i AS (SELECT name, color_shift, y * 64 + x + 1 AS place, tok, ascii(tok) - 59 AS k FROM av)
+        SELECT name, CAST(color_shift AS INT) AS color_shift, count(*) AS n,
+          CAST(sum(place * CASE WHEN tok = '~' THEN 255 ELSE k // 16 * 64 + 32 END) AS BIGINT) AS r,
+          CAST(sum(place * CASE WHEN tok = '~' THEN 255 ELSE k // 4 % 4 * 64 + 32 END) AS BIGINT) AS g,
+          CAST(sum(place * CASE WHEN tok = '~' THEN 255 ELSE k % 4 * 64 + 32 END) AS BIGINT) AS b
+        FROM i GROUP BY name, color_shift""".replace("SELECT name, CAST", "SELECT replace(name, '.txt', '.png') AS name, CAST"),
+    "augment_counts_job": f"""WITH {X.FITTED} SELECT 12 * (SELECT count(*) FROM fit) AS saved,
+        (SELECT count(*) FROM s) - (SELECT count(*) FROM fit) AS skipped""",
+    "batches_job": f"""WITH {TRAINING},
+        bt AS (SELECT *, row_number() OVER (ORDER BY generation, game_name, name) - 1 AS rn FROM mt)
+        SELECT rn // 16 AS batch, count(*) AS n, string_agg(identity_idx, ' ' ORDER BY rn) AS identity_idx,
+          string_agg(color_shift, ' ' ORDER BY rn) AS color_shift, string_agg(type1_idx, ' ' ORDER BY rn) AS type1,
+          string_agg(generation_idx, ' ' ORDER BY rn) AS generation, md5(string_agg(ids, ' ' ORDER BY rn)) AS ids
+        FROM bt GROUP BY rn // 16""",
+}

@@ -37,9 +37,9 @@ def encode_ids_query(spark, sf):
 
 
 def encode_ids_large_vocab(spark, sf):
-    """The documents' own vocabulary, which is beyond the broadcast limit from sf0.01 on."""
+    """The documents' own vocabulary, with a limit that makes it one to be joined."""
     docs = X.document_tokens(spark, sf)
-    result = encode_ids(docs, build_vocab(docs, "seq"), ["doc_id"])
+    result = encode_ids(docs, build_vocab(docs, "seq"), ["doc_id"], limit=1000)
     return result.select("doc_id", X.as_text("input_ids").alias("ids"))
 
 
@@ -127,7 +127,7 @@ def word_pieces(spark, sf):
 
 
 def bpe_merges(spark, sf):
-    model = bpe_train(X.documents(spark, sf), max_merges=40)
+    model = bpe_train(X.documents(spark, sf), max_merges=20)
     return spark.createDataFrame(
         [(i, model.tokens[a], model.tokens[b], model.tokens[m]) for i, (a, b, m) in enumerate(model.merges)],
         "position INT, left_token STRING, right_token STRING, merged STRING",
