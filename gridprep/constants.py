@@ -77,9 +77,14 @@ FIELD_RANGES = {
 LOG_END = "=" * 36
 LOG_PATTERN = r"(?s)=== Inference @ step (\d+) ===\n(.*?)\n" + LOG_END
 
-# whitespace and line breaks as str.split and str.splitlines see them
-WORD_PATTERN = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# whitespace other than the blank, and line breaks, as str.split and str.splitlines see them
+OTHER_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+LINE_BREAK = rf"\r\n|[{LINE_BREAKS}]"
 
 # size bound of everything that is collected to be sent to the tasks
 MAX_BROADCAST_ROWS = 65_536

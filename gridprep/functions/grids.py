@@ -4,7 +4,7 @@ Cell form: array<array<string>>."""
 from pyspark.sql import functions as F
 
 from gridprep.constants import BLANK, DOMINANCE_THRESHOLD, GRID_SIZE, PALETTE_START
-from gridprep.functions.text import empty_array, let, lines, split_lines, words
+from gridprep.functions.text import empty_array, let, line_words, lines, split_line_words
 
 
 def text_to_grid(data):
@@ -14,7 +14,7 @@ def text_to_grid(data):
 
 def grid_cells(data):
     """Cells at any whitespace, as the filters see them."""
-    return F.transform(lines(data), words)
+    return line_words(data)
 
 
 def grid_to_text(cells):
@@ -107,7 +107,7 @@ def pad_center(cells, size=GRID_SIZE):
 
 def flip_horizontal(data):
     return F.array_join(
-        F.transform(split_lines(data), lambda line: F.array_join(F.reverse(words(line)), " ")), "\n"
+        F.transform(split_line_words(data), lambda cells: F.array_join(F.reverse(cells), " ")), "\n"
     )
 
 

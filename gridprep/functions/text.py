@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from gridprep.constants import LINE_BREAK, WORD_PATTERN
+from gridprep.constants import LINE_BREAK, LINE_BREAKS, OTHER_SPACES
 
 
 def let(value, body):
@@ -18,9 +18,24 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _blanks_for(text, spaces):
+    """The text with blanks for other whitespace; recoding every text is quicker than searching it."""
+    return F.translate(text, spaces, " " * len(spaces))
+
+
+def _at_blanks(text):
+    """Words between blanks, which needs no pattern matching."""
+    return F.array_remove(F.split(text, " "), "")
+
+
 def words(text):
     """Like `text.split()`."""
-    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    return _at_blanks(_blanks_for(text, OTHER_SPACES))
+
+
+def line_words(text):
+    """Like `[line.split() for line in text.split("\\n")]`."""
+    return F.transform(lines(_blanks_for(text, OTHER_SPACES.replace("\n", ""))), _at_blanks)
 
 
 def lines(text):
@@ -28,16 +43,35 @@ def lines(text):
     return F.split(text, "\n")
 
 
-def split_lines(text):
-    """Like `text.splitlines()`: a final line break starts no new line."""
+def split_line_words(text):
+    """Like `[line.split() for line in text.splitlines()]`: a final line break starts no new line."""
+    spaces = "".join(c for c in OTHER_SPACES if c not in LINE_BREAKS)
     return let(
-        F.split(text, LINE_BREAK),
-        lambda parts: F.when(
-            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-        ).otherwise(parts),
+        F.split(_blanks_for(text, spaces), LINE_BREAK),
+        lambda parts: F.transform(
+            F.when(
+                F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+            ).otherwise(parts),
+            _at_blanks,
+        ),
     )
 
 
+def apart(function):
+    """A Python function the optimizer neither repeats in a pushed-down filter nor nests into
+    other expressions."""
+    return function.asNondeterministic()
+
+
+def with_kept(df, out, value, accept):
+    """Add `value` as `out` and keep the rows whose value `accept` holds for, computing it once.
+
+    A filter on a computed column is pushed below it and computes it again; one on the
+    elements of a generator is not.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), accept)).alias(out))
+
+
 def hash_int(seed, *keys):
     """A 60-bit integer from the seed and the keys, the same in every engine that has md5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k) if isinstance(k, str) else k for k in keys])
@@ -64,4 +98,4 @@ def running_sum(values):
         offsets = np.concatenate([[0], ends]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total[1:] - before))
 
-    return cumulate(F.coalesce(values.cast("array<bigint>"), empty_array("bigint")))
+    return apart(cumulate)(F.coalesce(values.cast("array<bigint>"), empty_array("bigint")))

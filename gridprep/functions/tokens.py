@@ -6,12 +6,12 @@ from gridprep.constants import (
     BLANK, BOS, CONTEXT_LENGTH, EOS, FIRST_ROW_ID, GRID_SIZE, N_ROWS, POSITION_PAD,
     ROW_LENGTH, ROW_PREFIX, ROW_START, ROW_TOKENS, TEXT_PREFIX,
 )
-from gridprep.functions.text import empty_array, let, lines, words
+from gridprep.functions.text import empty_array, let, line_words
 
 
 def sequence_text(data, row_length=ROW_LENGTH):
     """Row marker and cells 1 to row_length - 1 of every line that is not empty."""
-    rows = F.filter(F.transform(lines(data), words), lambda row: F.size(row) > 0)
+    rows = F.filter(line_words(data), lambda row: F.size(row) > 0)
     parts = F.transform(
         rows,
         lambda row, i: F.array_join(
@@ -31,8 +31,8 @@ def sequence_text_bos(data, row_length=ROW_LENGTH):
     One row of one cell ends as EOS, since the last cell is set after the first.
     """
     rows = F.transform(
-        lines(data),
-        lambda line: F.slice(F.concat(F.array(F.lit(ROW_START)), words(line)), F.lit(1), F.lit(row_length)),
+        line_words(data),
+        lambda row: F.slice(F.concat(F.array(F.lit(ROW_START)), row), F.lit(1), F.lit(row_length)),
     )
 
     def with_ends(tokens):

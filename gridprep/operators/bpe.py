@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridprep import schemas
 from gridprep.constants import BLANK, BOS, EOS, PAD, ROW_START, UNK
-from gridprep.functions.text import words
+from gridprep.functions.text import apart, words
 from gridprep.operators.vocab import encode_ids
 from gridprep.session import ensure_checkpoint_dir, shuffle_partitions
 
@@ -34,7 +34,7 @@ def nfkc(text):
             pa.string(),
         )
 
-    return normalise(text)
+    return apart(normalise)(text)
 
 
 def word_counts(df, text="text"):
@@ -193,7 +193,7 @@ def bpe_encode(df, model, tokens="window", out="input_ids"):
         offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), per_word.flatten())
 
-    return df.withColumn(out, encode(F.col(tokens))).withColumns({
+    return df.withColumn(out, apart(encode)(F.col(tokens))).withColumns({
         "input_text": F.array_join(tokens, " "),
         "attention_mask": F.array_repeat(F.lit(1).cast("tinyint"), F.size(out)),
     })

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from gridprep.constants import BLANK, BLANK_ABOVE, BLANK_BELOW, PALETTE_START
 from gridprep.functions.pixels import over_white
+from gridprep.functions.text import apart
 
 PIXEL_FIELDS = "y INT, x INT, r INT, g INT, b INT, a INT"
 
@@ -38,7 +39,7 @@ def encode_images(images, out="data"):
         return pa.array(texts, pa.string())
 
     return images.withColumn(
-        out, grid_text(F.col("height"), F.col("width"), F.col("n_channels"), F.col("data"))
+        out, apart(grid_text)(F.col("height"), F.col("width"), F.col("n_channels"), F.col("data"))
     ).drop("height", "width", "n_channels")
 
 
@@ -104,5 +105,5 @@ def to_tensor(images, out="tensor"):
         return pa.array(tensors, pa.list_(pa.float32()))
 
     return images.withColumn(
-        out, planes(F.col("height"), F.col("width"), F.col("n_channels"), F.col("data"))
+        out, apart(planes)(F.col("height"), F.col("width"), F.col("n_channels"), F.col("data"))
     )

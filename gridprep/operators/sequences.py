@@ -4,16 +4,20 @@ from pyspark.sql import functions as F
 
 from gridprep.constants import CONTEXT_LENGTH, PAD_ID, ROW_LENGTH
 from gridprep.functions import tokens as T
-from gridprep.functions.text import let, running_sum, words
+from gridprep.functions.text import let, running_sum, with_kept, words
 
 
 def to_sequence(df, data="data", text="text", row_length=ROW_LENGTH):
     """Add the sequence text of a grid; grids without data are left out."""
-    return df.where(F.col(data) != "").withColumn(text, T.sequence_text(F.col(data), row_length))
+    return _to_text(df, data, text, lambda grid: T.sequence_text(grid, row_length))
 
 
 def to_sequence_bos(df, data="data", text="text", row_length=ROW_LENGTH):
-    return df.where(F.col(data) != "").withColumn(text, T.sequence_text_bos(F.col(data), row_length))
+    return _to_text(df, data, text, lambda grid: T.sequence_text_bos(grid, row_length))
+
+
+def _to_text(df, data, text, form):
+    return with_kept(df, text, F.when(F.col(data) != "", form(F.col(data))), lambda t: t.isNotNull())
 
 
 def chunk_pad(df, ids="input_ids", length=CONTEXT_LENGTH):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridprep.constants import DOMINANCE_THRESHOLD, GENERATIONS, GRID_SIZE
 from gridprep.functions import grids
-from gridprep.functions.text import words
+from gridprep.functions.text import with_kept, words
 
 
 def select_generations(df, generations, known=GENERATIONS):
@@ -49,12 +49,10 @@ def filter_dominant(df, data="data", threshold=DOMINANCE_THRESHOLD):
 
 def fit_grid(df, data="data", size=GRID_SIZE):
     """Trim, drop what is larger than size × size, pad the rest to it."""
-    return (
-        df.withColumn("_cells", grids.trim_blank(grids.grid_cells(F.col(data))))
-        .where(grids.fits(F.col("_cells"), size))
-        .withColumn(data, grids.pad_center(F.col("_cells"), size))
-        .drop("_cells")
+    trimmed = with_kept(
+        df, "_cells", grids.trim_blank(grids.grid_cells(F.col(data))), lambda cells: grids.fits(cells, size)
     )
+    return trimmed.withColumn(data, grids.pad_center(F.col("_cells"), size)).drop("_cells")
 
 
 def filter_oversize(df, data="data", size=GRID_SIZE):

@@ -9,7 +9,7 @@ from gridprep import schemas
 from gridprep.constants import (
     BACKGROUND_WEIGHT, BLANK, MAX_BROADCAST_ROWS, ROW_TOKENS, SPECIAL_TOKENS, UNK_ID,
 )
-from gridprep.functions.text import words
+from gridprep.functions.text import apart, words
 from gridprep.operators.ranking import global_rank
 
 SALTS = 8
@@ -55,7 +55,7 @@ def encode_ids(df, vocab, key, tokens="tokens", out="input_ids", unknown=UNK_ID,
         at = pc.fill_null(found, len(known)).to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[at]))
 
-    return df.withColumn(out, lookup(F.col(tokens)))
+    return df.withColumn(out, apart(lookup)(F.col(tokens)))
 
 
 def decode_ids(df, vocab, key, ids="input_ids", out="tokens", limit=MAX_BROADCAST_ROWS):
@@ -73,7 +73,7 @@ def decode_ids(df, vocab, key, ids="input_ids", out="tokens", limit=MAX_BROADCAS
         at = pc.index_in(pc.cast(lists.flatten(), pa.int32()), value_set=pa.array(known, pa.int32()))
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.string()).take(at))
 
-    return df.withColumn(out, lookup(F.col(ids)))
+    return df.withColumn(out, apart(lookup)(F.col(ids)))
 
 
 def _lookup_by_join(df, table, key, column, out, default):

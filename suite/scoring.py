@@ -87,9 +87,10 @@ def blend_vectors(spark, sf):
 
 def sum_vectors(spark, sf):
     known = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    n = known.agg(F.count("*")).scalar()
     rows = X.load(spark, sf, "customer").select(
         F.col("c_custkey").alias("cid"), F.col("c_nationkey").alias("nation"),
-        (F.col("c_custkey") % 500).alias("identity"), (F.length("c_mktsegment") + 30).alias("segment"),
+        (F.col("c_custkey") % n).alias("identity"), (F.length("c_mktsegment") + 30).alias("segment"),
     )
     total = P.sum_vectors(rows, [("nation", known), ("identity", known), ("segment", known)])
     return total.select("cid", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5))
@@ -231,7 +232,7 @@ ORACLES = {
         x AS (SELECT target, e / sum(e) OVER (PARTITION BY target) AS wt, embedding FROM w JOIN embeddings USING (vec_id)),
         u AS (SELECT target, wt, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM x)
         SELECT target, CAST(pos AS INT) AS pos, round(sum(wt * CAST(v AS DOUBLE)), 5) AS v FROM u GROUP BY target, pos""",
-    "sum_vectors": """WITH k AS (SELECT c_custkey AS cid, unnest([CAST(c_nationkey AS BIGINT), c_custkey % 500, length(c_mktsegment) + 30]) AS vec_id FROM customer),
+    "sum_vectors": """WITH k AS (SELECT c_custkey AS cid, unnest([CAST(c_nationkey AS BIGINT), c_custkey % (SELECT count(*) FROM embeddings), length(c_mktsegment) + 30]) AS vec_id FROM customer),
         u AS (SELECT cid, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM k JOIN embeddings USING (vec_id))
         SELECT cid, CAST(pos AS INT) AS pos, round(sum(CAST(v AS DOUBLE)), 5) AS v FROM u GROUP BY cid, pos""",
     "best_of_n": f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ord) AS n FROM ({CANDIDATES}) AS e),
