@@ -30,7 +30,7 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     known = set(df.columns)
     used = [(out, column, guard) for out, column, guard in fields
             if column in known and (guard is None or guard in known)]
-    ranked = global_rank(df.select(*order, *sorted({c for f in used for c in f[1:] if c} - set(order))), order, "_rank")
+    ranked = df.join(global_rank(df.select(*order), order, "_rank"), order)
     inputs = sorted({c for _, column, _ in used for c in (column,)})
     guards = sorted({guard for _, _, guard in used if guard})
     batches = ranked.groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(

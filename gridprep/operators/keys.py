@@ -3,18 +3,18 @@
 from pyspark.sql import functions as F
 
 from gridprep.functions.names import identity_key
+from gridprep.operators.joins import broadcast_if_small
 from gridprep.operators.ranking import global_rank
 
 
 def index_keys(df, name="name", out="identity_idx"):
     """Number the identities in key order, from 0.
 
-    Only distinct keys are sorted. The table of keys is unique by key, so a frequent key
-    is frequent on one side of the join only, where adaptive execution splits it.
+    Only distinct keys are sorted, and the rows do not move if there are few of them.
     """
     keyed = df.withColumn("_key", identity_key(F.col(name)))
     index = global_rank(keyed.select("_key").distinct(), ["_key"], out)
-    return keyed.join(index, "_key").drop("_key")
+    return keyed.join(broadcast_if_small(index), "_key").drop("_key")
 
 
 def count_identities(df, name="name"):

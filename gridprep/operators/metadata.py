@@ -9,6 +9,7 @@ from gridprep import constants as C
 from gridprep import schemas
 from gridprep.functions.enums import encode_enum
 from gridprep.functions.names import generation_index, is_shiny, name_chars, species_id
+from gridprep.operators.joins import broadcast_if_small
 from gridprep.operators.keys import keyed_last
 from gridprep.session import ensure_checkpoint_dir
 
@@ -109,7 +110,7 @@ def join_metadata(df, metadata, name="name", generation="generation"):
     """Codes of a grid's species, with defaults where the species or a field is missing.
 
     `metadata` has one row per species or several, of which the one with the highest
-    `position` counts. Which side is broadcast is left to its measured size.
+    `position` counts.
     """
     if "position" in metadata.columns:
         metadata = keyed_last(metadata, ["id"], ["position"]).drop("position")
@@ -124,7 +125,9 @@ def join_metadata(df, metadata, name="name", generation="generation"):
             for f in fields
         ],
     )
-    joined = df.withColumn("_species", species_id(F.col(name))).join(species, "_species", "left")
+    joined = df.withColumn("_species", species_id(F.col(name))).join(
+        broadcast_if_small(species), "_species", "left"
+    )
 
     def flag(field):
         return F.coalesce(F.col(f"_{field}"), F.lit(False)).cast("bigint")

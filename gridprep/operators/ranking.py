@@ -5,7 +5,7 @@ from math import ceil, sqrt
 from pyspark.sql import Window, functions as F
 
 from gridprep.functions.text import let
-from gridprep.session import shuffle_partitions
+from gridprep.session import ensure_checkpoint_dir, shuffle_partitions
 
 OVERSAMPLE = 8
 
@@ -41,17 +41,20 @@ def _part_of(key, points):
     return let(key, locate)
 
 
-def global_rank(df, order, out="rank", parts=None):
+def global_rank(keys, order, out="rank", parts=None):
     """Add the 0-based position of each row in the order of the `order` columns.
 
-    The columns together have to be unique. Rows go to parts by comparing them with
+    `keys` is a table of little more than the order columns, which together have to be unique;
+    it is read several times, so it is checkpointed first. Rows go to parts by comparing them with
     split points over the whole key, so no value can make one part hot; each part is
     sorted by itself and starts at the sum of the sizes before it. The table of
     starts has at most `parts` rows.
     """
-    n = parts or shuffle_partitions(df.sparkSession)
-    key = F.struct(*order)
-    located = df.withColumn("_part", _part_of(key, _split_points(df, order, n)))
+    spark = keys.sparkSession
+    ensure_checkpoint_dir(spark)
+    keys = keys.checkpoint()
+    points = _split_points(keys, order, parts or shuffle_partitions(spark))
+    located = keys.withColumn("_part", _part_of(F.struct(*order), points))
     sizes = located.groupBy("_part").count()
     starts = sizes.select(
         "_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start")

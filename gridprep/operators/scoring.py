@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridprep.functions.text import let, running_sum
+from gridprep.functions.text import let, running_sum, with_kept
 
 PROBABILITY_UNITS = 10**12
 LOG_FLOOR = -100.0
@@ -89,7 +89,7 @@ def filter_candidates(df, scores="scores", k=0, p=1.0, temperature=1.0):
         return F.round(c["probability"] * PROBABILITY_UNITS).cast("long")
 
     kept = [c for c in df.columns if c != scores]
-    listed = df.select(*kept, let(ordered, with_mass).alias("_list")).where(F.size("_list") > 0)
+    listed = with_kept(df, "_list", let(ordered, with_mass), lambda c: F.size(c) > 0)
     summed = listed.withColumn("_sums", running_sum(F.transform("_list", units)))
     nucleus = F.filter(
         F.zip_with(

@@ -12,8 +12,8 @@ from gridprep.functions.pixels import over_white
 from gridprep.functions.text import hash_int
 from gridprep.functions.tokens import token_length
 from gridprep.operators.images import explode_pixels
+from gridprep.operators.joins import bounded_rows, broadcast_if_small
 from gridprep.operators.ranking import global_rank
-from gridprep.operators.vocab import bounded_rows
 
 HASH_BUCKET_BITS = 16
 HASH_BITS = 60
@@ -174,7 +174,8 @@ def make_negatives(images, key, seed=0, frac=0.5):
     `frac` of its pixels replaced. The rows are shuffled as pieces of the image's bytes.
     """
     ranked = global_rank(images.select(*key), key, "_rank")
-    placed = images.join(ranked.select(*key, (F.col("_rank") % 3).cast("int").alias("strategy")), key)
+    strategy = ranked.select(*key, (F.col("_rank") % 3).cast("int").alias("strategy"))
+    placed = images.join(broadcast_if_small(strategy), key)
     stride = F.col("width") * F.col("n_channels")
     new_order = F.array_sort(
         F.transform(

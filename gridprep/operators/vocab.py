@@ -10,17 +10,12 @@ from gridprep.constants import (
     BACKGROUND_WEIGHT, BLANK, MAX_BROADCAST_ROWS, ROW_TOKENS, SPECIAL_TOKENS, UNK_ID,
 )
 from gridprep.functions.text import apart, words
+from gridprep.operators.joins import bounded_rows
 from gridprep.operators.ranking import global_rank
 
 SALTS = 8
 
 
-def bounded_rows(df, limit=MAX_BROADCAST_ROWS):
-    """The rows if there are at most `limit`, else None. No more than limit + 1 are fetched."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def distinct_tokens(df, text="text"):
     """Each token of the corpus once; repeats inside a text go before the shuffle."""
     return df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("token")).distinct()

@@ -14,6 +14,7 @@ from gridprep.operators.metadata import join_metadata
 from gridprep.operators.sequences import chunk_pad, to_sequence
 from gridprep.operators.validate import filter_border, filter_dominant, fit_grid, select_generations
 from gridprep.operators.vocab import build_vocab, decode_ids, encode_ids, marker_ids, token_weights
+from gridprep.session import ensure_checkpoint_dir
 from gridprep.sources.images import extract_archives, name_members
 from gridprep.sources.tables import upsert
 
@@ -33,7 +34,10 @@ def images_to_grids(images, generations=DEFAULT_GENERATIONS):
 
 def grids_to_training_table(grids, metadata, context_length=CONTEXT_LENGTH, permutations=None):
     """(train, vocab) of the grids that fit, in all their variants."""
-    texts = to_sequence(augment(fit_grid(grids), permutations))
+    ensure_checkpoint_dir(grids.sparkSession)
+    # read three times below: for the vocabulary, for the identities and for the table
+    fitted = fit_grid(grids).checkpoint()
+    texts = to_sequence(augment(fitted, permutations))
     vocab = build_vocab(texts)
     encoded = encode_ids(
         texts.withColumn("_tokens", words(F.col("text"))), vocab, ["generation", "game_name", "name"], "_tokens"

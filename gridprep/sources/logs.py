@@ -6,9 +6,23 @@ from gridprep.constants import LOG_END, LOG_PATTERN
 
 
 def scan_log(spark, path):
-    """Log files cut behind every end line, so that a large file is read by many tasks."""
-    cut = spark.read.option("lineSep", LOG_END).text(path)
-    return cut.select(F.concat("value", F.lit(LOG_END)).alias("text"))
+    """Log files cut behind every end line, so that a large file is read by many tasks.
+
+    What follows the last end line of a file gets none; the sizes tell whether there is such a rest.
+    """
+    cut = spark.read.option("lineSep", LOG_END).text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at"),
+    )
+    ends = cut.groupBy("file").agg(
+        F.max("at").alias("last"),
+        (F.sum(F.octet_length("value") + len(LOG_END)) > F.max("size")).alias("has_rest"),
+    )
+    is_rest = F.col("has_rest") & (F.col("at") == F.col("last"))
+    end = F.when(is_rest, F.lit("")).otherwise(F.lit(LOG_END))
+    return cut.join(ends, "file").select(F.concat("value", end).alias("text"))
 
 
 def scrape_log(df, text="text"):

@@ -29,11 +29,13 @@ def training_table(spark, sf):
 
 def training_table_job(spark, sf):
     train, _ = training_table(spark, sf)
-    arrays = ["input_ids", "labels", "attention_mask", "row_ids", "col_ids"]
     return train.select(
         "name", "generation", "game_name", "chunk", "color_shift", "identity_idx", "input_text",
-        F.md5("original_text").alias("original_text"),
-        *[F.md5(X.as_text(c)).alias(c) for c in arrays], *METADATA_CODES, X.as_text("name_chars").alias("name_chars"),
+        F.md5("original_text").alias("original_text"), F.md5(X.as_text("input_ids")).alias("input_ids"),
+        (F.col("labels") == F.col("input_ids")).alias("same_labels"),
+        F.size(F.array_remove("attention_mask", 0)).alias("n_tokens"),
+        *[F.array_join(F.array_distinct(c).cast("array<string>"), " ").alias(c) for c in ("row_ids", "col_ids")],
+        *METADATA_CODES, X.as_text("name_chars").alias("name_chars"),
     )
 
 
@@ -55,7 +57,10 @@ def augment_counts_job(spark, sf):
 
 def batches_job(spark, sf):
     train, vocab = training_table(spark, sf)
-    batches, _, _ = J.training_to_batches(train, vocab)
+    # as it would be read back from a stored version
+    stored = train.select("generation", "game_name", "name", "chunk", "identity_idx", "color_shift", "type1_idx",
+                          "generation_idx", "input_ids").checkpoint()
+    batches, _, _ = J.training_to_batches(stored, vocab)
     return batches.select(
         "batch", "n", X.as_text("identity_idx").alias("identity_idx"), X.as_text("color_shift").alias("color_shift"),
         X.as_text("type1").alias("type1"), X.as_text("generation").alias("generation"),
@@ -93,9 +98,8 @@ ix AS (SELECT *, dense_rank() OVER (ORDER BY {IDENTITY}) - 1 AS identity_idx FRO
 {SPECIES_ROWS},
 mt AS (SELECT ix.*, {metadata_codes('md')} FROM ix LEFT JOIN md ON CAST(md.id AS VARCHAR) = {SPECIES})
 """
-PATTERN_ROWS = "(SELECT md5(string_agg(p // 64, ' ' ORDER BY p)) FROM range(4096) AS r(p))"
-PATTERN_COLS = "(SELECT md5(string_agg(CASE WHEN p % 64 = 0 THEN 64 ELSE p % 64 - 1 END, ' ' ORDER BY p)) FROM range(4096) AS r(p))"
-ONES = "(SELECT md5(string_agg(1, ' ')) FROM range(4096) AS r(p))"
+PATTERN_ROWS = "(SELECT string_agg(p, ' ' ORDER BY p) FROM range(64) AS r(p))"
+PATTERN_COLS = "(SELECT '64 ' || string_agg(p, ' ' ORDER BY p) FROM range(63) AS r(p))"
 NAME_CODES = """array_to_string([CASE WHEN i <= length(stem) THEN ascii(stem[i]) ELSE 0 END for i in range(1, 17)], ' ')"""
 
 ORACLES = {
@@ -105,8 +109,8 @@ ORACLES = {
     "training_table_job": f"""WITH {TRAINING},
         st AS (SELECT *, substr(regexp_replace(name, '(_shiny)?(_female)?(_frame2)?(_flip)?\\.txt$', ''), 1, 16) AS stem FROM mt)
         SELECT name, generation, game_name, CAST(1 AS BIGINT) AS chunk, CAST(color_shift AS INT) AS color_shift, identity_idx,
-          substr(text, 1, 512) AS input_text, md5(text) AS original_text, md5(ids) AS input_ids, md5(ids) AS labels,
-          {ONES} AS attention_mask, {PATTERN_ROWS} AS row_ids, {PATTERN_COLS} AS col_ids, {', '.join(METADATA_CODES)},
+          substr(text, 1, 512) AS input_text, md5(text) AS original_text, md5(ids) AS input_ids, true AS same_labels,
+          CAST(4096 AS INT) AS n_tokens, {PATTERN_ROWS} AS row_ids, {PATTERN_COLS} AS col_ids, {', '.join(METADATA_CODES)},
           {NAME_CODES} AS name_chars FROM st""",
     "training_vocab": f"WITH {TRAINING} SELECT token, id FROM vocab",
     "augment_preview_job": f"""WITH {X.VARIANTS},
