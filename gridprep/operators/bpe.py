@@ -65,7 +65,7 @@ def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_len
     The most frequent pair is merged, on a tie the one with the smaller ids, until the
     vocabulary is full, `max_merges` are learned or no pair is frequent enough. A pair of two characters may always be
     merged; a pair with a merged token only if together they have fewer than
-    `max_token_length` bytes.
+    `max_token_length` characters.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -91,11 +91,9 @@ def bpe_train(df, text="text", vocab_size=30_000, min_frequency=0, max_token_len
         open_words = state.where(F.contains("symbols", F.lit("  ")))
         found = pair_counts(open_words.select("n", _parted(F.col("symbols")).alias("symbols")))
         if max_token_length is not None:
-            n_bytes = F.lit([len(t.encode()) for t in tokens])
-            n_chars = F.lit([len(t) for t in tokens])
-            plain = (F.get(n_chars, F.col("a")) == 1) & (F.get(n_chars, F.col("b")) == 1)
-            short = F.get(n_bytes, F.col("a")) + F.get(n_bytes, F.col("b")) < max_token_length
-            found = found.where(plain | short)
+            lengths = F.lit([len(t) for t in tokens])
+            joined = F.get(lengths, F.col("a")) + F.get(lengths, F.col("b"))
+            found = found.where((joined == 2) | (joined < max_token_length))
         best = (
             found.where(F.col("n") >= max(1, min_frequency))
             .orderBy(F.desc("n"), "a", "b")

@@ -19,7 +19,7 @@ def _split_points(df, order, n):
     every = sample.orderBy(*order).collect()
     return [
         F.struct(*[F.lit(value).cast(df.schema[c].dataType).alias(c) for c, value in zip(order, row)])
-        for row in every[OVERSAMPLE - 1::OVERSAMPLE]
+        for row in every[OVERSAMPLE - 1::OVERSAMPLE][: n - 1]
     ]
 
 
