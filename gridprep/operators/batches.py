@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridprep.operators.joins import broadcast_if_small
 from gridprep.operators.ranking import global_rank
 
 # (name in the batch, column, column that decides whether the batch carries it)
@@ -30,7 +31,7 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     known = set(df.columns)
     used = [(out, column, guard) for out, column, guard in fields
             if column in known and (guard is None or guard in known)]
-    ranked = df.join(global_rank(df.select(*order), order, "_rank"), order)
+    ranked = df.join(broadcast_if_small(global_rank(df.select(*order), order, "_rank")), order)
     inputs = sorted({c for _, column, _ in used for c in (column,)})
     guards = sorted({guard for _, _, guard in used if guard})
     batches = ranked.groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(

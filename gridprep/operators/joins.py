@@ -1,9 +1,11 @@
-"""Size checks before data goes to every task."""
+"""Joins with lookup tables, by size."""
 
 from pyspark.sql import functions as F
 
 from gridprep.constants import MAX_BROADCAST_ROWS
 
+SALTS = 8
+
 
 def bounded_rows(df, limit=MAX_BROADCAST_ROWS):
     """The rows if there are at most `limit`, else None. No more than limit + 1 are fetched."""
@@ -11,7 +13,25 @@ def bounded_rows(df, limit=MAX_BROADCAST_ROWS):
     return rows if len(rows) <= limit else None
 
 
+def is_small(df, limit=MAX_BROADCAST_ROWS):
+    return df.limit(limit + 1).count() <= limit
+
+
 def broadcast_if_small(df, limit=MAX_BROADCAST_ROWS):
-    """Mark a table of at most `limit` narrow rows for broadcast. A larger one is left to be joined
-    by a shuffle, where adaptive execution splits a frequent key of the other side."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Mark a table of at most `limit` narrow rows for broadcast; leave a larger one to a shuffle."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def join_unique(df, table, on, how="inner", spread=None, limit=MAX_BROADCAST_ROWS):
+    """Join a table with one row per key.
+
+    A small table is sent to all tasks and `df` does not move. With a larger one the rows of a
+    key are spread over several tasks, each with its own copy of the key's row, by a hash of
+    the `spread` columns, which should tell rows of a key apart.
+    """
+    if is_small(table, limit):
+        return df.join(F.broadcast(table), on, how)
+    spread = spread or [c for c in df.columns if c not in on] or on
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridprep.functions.names import identity_key
-from gridprep.operators.joins import broadcast_if_small
+from gridprep.operators.joins import join_unique
 from gridprep.operators.ranking import global_rank
 
 
@@ -14,7 +14,7 @@ def index_keys(df, name="name", out="identity_idx"):
     """
     keyed = df.withColumn("_key", identity_key(F.col(name)))
     index = global_rank(keyed.select("_key").distinct(), ["_key"], out)
-    return keyed.join(broadcast_if_small(index), "_key").drop("_key")
+    return join_unique(keyed, index, ["_key"], spread=df.columns).drop("_key")
 
 
 def count_identities(df, name="name"):
@@ -34,4 +34,4 @@ def keyed_last(df, key, order):
 def attach_by_name(df, attributes, order, name="name"):
     """Join attributes by name; of several rows with a name the last one counts."""
     last = keyed_last(attributes, [name], order).drop(*[c for c in order if c not in df.columns])
-    return df.join(last, name)
+    return join_unique(df, last, [name])

@@ -9,7 +9,7 @@ from gridprep import constants as C
 from gridprep import schemas
 from gridprep.functions.enums import encode_enum
 from gridprep.functions.names import generation_index, is_shiny, name_chars, species_id
-from gridprep.operators.joins import broadcast_if_small
+from gridprep.operators.joins import join_unique
 from gridprep.operators.keys import keyed_last
 from gridprep.session import ensure_checkpoint_dir
 
@@ -91,7 +91,7 @@ def chain_stage(edges, targets, parent="parent", child="child", target="target")
         if open_links.isEmpty():
             break
         linked = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("distance").alias("_d"))
-        moved = open_links.join(linked, "up", "left").select(
+        moved = join_unique(open_links, linked, ["up"], "left", spread=["node"]).select(
             "node", F.col("_up").alias("up"), (F.col("distance") + F.coalesce("_d", F.lit(0))).alias("distance")
         )
         state = state.where("up IS NULL").unionByName(moved).checkpoint()
@@ -99,7 +99,8 @@ def chain_stage(edges, targets, parent="parent", child="child", target="target")
         raise ValueError("the chain has a cycle")
     stages = state.select(F.col("node").alias(target), (F.col("distance") + 1).cast("int").alias("_stage"))
     going_on = parents.select(F.col("node").alias(target), F.lit(True).alias("_more"))
-    return targets.join(stages, target, "left").join(going_on, target, "left").select(
+    facts = stages.join(going_on, target, "left")
+    return join_unique(targets, facts, [target], "left").select(
         *targets.columns,
         F.coalesce("_stage", F.lit(1)).alias("evolution_stage"),
         (F.coalesce("_more", F.lit(False)) & F.col("_stage").isNotNull()).alias("has_evolution"),
@@ -125,9 +126,8 @@ def join_metadata(df, metadata, name="name", generation="generation"):
             for f in fields
         ],
     )
-    joined = df.withColumn("_species", species_id(F.col(name))).join(
-        broadcast_if_small(species), "_species", "left"
-    )
+    keyed = df.withColumn("_species", species_id(F.col(name)))
+    joined = join_unique(keyed, species, ["_species"], "left", spread=[name])
 
     def flag(field):
         return F.coalesce(F.col(f"_{field}"), F.lit(False)).cast("bigint")

@@ -12,7 +12,7 @@ from gridprep.functions.pixels import over_white
 from gridprep.functions.text import hash_int
 from gridprep.functions.tokens import token_length
 from gridprep.operators.images import explode_pixels
-from gridprep.operators.joins import bounded_rows, broadcast_if_small
+from gridprep.operators.joins import bounded_rows, broadcast_if_small, join_unique
 from gridprep.operators.ranking import global_rank
 
 HASH_BUCKET_BITS = 16
@@ -94,7 +94,7 @@ def sum_vectors(df, lookups, out="vector"):
         renamed = table.select(
             F.col("id").alias(f"_id{i}"), F.col("vector").cast("array<double>").alias(f"_v{i}")
         )
-        df = df.join(renamed, F.col(column) == F.col(f"_id{i}"), "left")
+        df = join_unique(df.withColumn(f"_id{i}", F.col(column)), renamed, [f"_id{i}"], "left", spread=kept)
         found = F.col(f"_v{i}")
         total = found if total is None else F.zip_with(total, found, lambda a, b: a + b)
     return df.select(*kept, total.alias(out))

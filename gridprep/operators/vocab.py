@@ -10,12 +10,9 @@ from gridprep.constants import (
     BACKGROUND_WEIGHT, BLANK, MAX_BROADCAST_ROWS, ROW_TOKENS, SPECIAL_TOKENS, UNK_ID,
 )
 from gridprep.functions.text import apart, words
-from gridprep.operators.joins import bounded_rows
+from gridprep.operators.joins import bounded_rows, join_unique
 from gridprep.operators.ranking import global_rank
 
-SALTS = 8
-
-
 def distinct_tokens(df, text="text"):
     """Each token of the corpus once; repeats inside a text go before the shuffle."""
     return df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("token")).distinct()
@@ -74,15 +71,12 @@ def decode_ids(df, vocab, key, ids="input_ids", out="tokens", limit=MAX_BROADCAS
 def _lookup_by_join(df, table, key, column, out, default):
     """Look every element up by a join and put the arrays together again.
 
-    Each element is looked up once per row it occurs in. Frequent elements are spread
-    over salted copies of the table, which is unique by its first column.
+    Each element is looked up once per row it occurs in.
     """
     source, target = table.columns
     elements = df.select(*key, F.posexplode(column).alias("_pos", source))
     repeated = elements.groupBy(*key, source).agg(F.collect_list("_pos").alias("_at"))
-    salted = repeated.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = salted.join(copies, [source, "_salt"], "left").select(
+    found = join_unique(repeated, table, [source], "left", spread=key, limit=0).select(
         *key, F.explode("_at").alias("_pos"), F.coalesce(target, default).alias(target)
     )
     arrays = found.groupBy(*key).agg(

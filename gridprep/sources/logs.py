@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridprep.constants import LOG_END, LOG_PATTERN
+from gridprep.operators.joins import join_unique
 
 
 def scan_log(spark, path):
@@ -22,7 +23,7 @@ def scan_log(spark, path):
     )
     is_rest = F.col("has_rest") & (F.col("at") == F.col("last"))
     end = F.when(is_rest, F.lit("")).otherwise(F.lit(LOG_END))
-    return cut.join(ends, "file").select(F.concat("value", end).alias("text"))
+    return join_unique(cut, ends, ["file"], spread=["at"]).select(F.concat("value", end).alias("text"))
 
 
 def scrape_log(df, text="text"):

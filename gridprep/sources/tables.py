@@ -2,6 +2,8 @@
 
 from pyspark.sql import Window, functions as F
 
+from gridprep.operators.joins import bounded_rows
+
 KEY = ["generation", "game_name", "name"]
 PARTITION = KEY[:2]
 
@@ -49,12 +51,26 @@ def upsert(df, path, order=None):
             raise
         stored = None
     if stored is not None:
-        touched = stored.join(F.broadcast(rows.select(*PARTITION).distinct()), PARTITION, "left_semi")
-        kept = touched.join(rows.select(*KEY), KEY, "left_anti")
+        kept = _in_folders(stored, rows).join(rows.select(*KEY), KEY, "left_anti")
         rows = rows.unionByName(kept, allowMissingColumns=True)
+    # tasks of even size, each with few folders; a large folder is written by several tasks
+    rows = rows.hint("rebalance", *PARTITION)
     rows.write.partitionBy(*PARTITION).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def _in_folders(stored, rows):
+    """Stored rows in the folders that `rows` go to. A listed folder is skipped without a scan."""
+    folders = rows.select(*PARTITION).distinct()
+    listed = bounded_rows(folders)
+    if listed is None:
+        return stored.join(folders, PARTITION, "left_semi")
+    wanted = F.lit(False)
+    for generation in sorted({r["generation"] for r in listed}):
+        games = [r["game_name"] for r in listed if r["generation"] == generation]
+        wanted = wanted | ((F.col("generation") == generation) & F.col("game_name").isin(games))
+    return stored.where(wanted)
+
+
 def list_generations(df):
     return df.select("generation").distinct().orderBy("generation")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridprep.constants import SPECIAL_TOKENS
 from gridprep.operators.batches import collate
+from gridprep.operators.joins import join_unique
 from gridprep.operators.keys import attach_by_name, index_keys
 from gridprep.operators.metadata import chain_stage
 from gridprep.operators.ranking import global_rank
@@ -46,10 +47,22 @@ def test_index_keys_beyond_the_broadcast_limit(spark, monkeypatch):
     keys = sorted({n.replace("_flip", "").replace(".txt", "") for n in names})
     expected = {i: keys.index(n.replace("_flip", "").replace(".txt", "")) for i, n in enumerate(names)}
     assert {r["i"]: r["identity_idx"] for r in index_keys(df).collect()} == expected
-    monkeypatch.setattr("gridprep.operators.keys.broadcast_if_small", lambda table: table)
+    monkeypatch.setattr("gridprep.operators.joins.is_small", lambda *_: False)
     assert {r["i"]: r["identity_idx"] for r in index_keys(df).collect()} == expected
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_broadcast(spark, monkeypatch, how):
+    rows = [("hot" if i % 3 == 0 else f"k{i % 20}" if i % 3 == 1 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k STRING, i INT")
+    table = spark.createDataFrame([(f"k{i}", i) for i in range(10)] + [("hot", -1)], "k STRING, v INT")
+    small = sorted(map(str, join_unique(df, table, ["k"], how).collect()))
+    large = join_unique(df, table, ["k"], how, limit=3)
+    assert sorted(map(str, large.collect())) == small
+    monkeypatch.setattr("gridprep.operators.joins.is_small", lambda *_: False)
+    assert sorted(map(str, join_unique(df, table, ["k"], how).collect())) == small
+
+
 def test_last_duplicate_wins(spark):
     rows = [("hot", i) if i % 2 else (f"n{i % 5}", i) for i in range(100)]
     df = spark.createDataFrame(rows, "name STRING, v INT")
@@ -154,7 +167,7 @@ def test_allowed_tokens(spark, monkeypatch):
 
     for small in (True, False):
         if not small:
-            monkeypatch.setattr("gridprep.operators.selection.bounded_rows", lambda table: None)
+            monkeypatch.setattr("gridprep.operators.selection.bounded_rows", lambda *_: None)
         for r in allowed_tokens(df, vocab, width=4).collect():
             assert {tokens[i] for i in r["allowed"]} == expected(r["row"], r["used"])
 
@@ -197,7 +210,9 @@ def test_negatives(spark):
     assert same["b"] < 5 and 0.3 < same["c"] / size**2 < 0.7
 
 
-def test_long_chain(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_long_chain(spark, monkeypatch, small):
+    monkeypatch.setattr("gridprep.operators.joins.is_small", lambda *_: small)
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "parent INT, child INT")
     targets = spark.createDataFrame([(i,) for i in range(n + 1)], "target INT")
