@@ -35,7 +35,12 @@ def words(text):
 
 def line_words(text):
     """Like `[line.split() for line in text.split("\\n")]`."""
-    return F.transform(lines(_blanks_for(text, OTHER_SPACES.replace("\n", ""))), _at_blanks)
+    return F.transform(lines(blanks_in_lines(text)), _at_blanks)
+
+
+def blanks_in_lines(text):
+    """The text with no whitespace but blanks and line feeds."""
+    return _blanks_for(text, OTHER_SPACES.replace("\n", ""))
 
 
 def lines(text):

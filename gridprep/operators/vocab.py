@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from gridprep import schemas
 from gridprep.constants import (
@@ -28,24 +28,33 @@ def build_vocab(df, text="text", special=SPECIAL_TOKENS):
 
 
 def encode_ids(df, vocab, key, tokens="tokens", out="input_ids", unknown=UNK_ID, limit=MAX_BROADCAST_ROWS):
-    """Replace an array of tokens by their ids.
+    """Replace tokens, an array or a text with blanks between them, by their ids.
 
     A vocabulary of up to `limit` rows is sent to the tasks and no row moves. A larger
     one is joined; `key` names the columns that identify a row there.
     """
+    is_text = df.schema[tokens].dataType == T.StringType()
     rows = bounded_rows(vocab.select("token", "id"), limit)
     if rows is None:
-        return _lookup_by_join(df, vocab.select("token", "id"), key, tokens, out, F.lit(unknown))
+        listed = df.withColumn("_tokens", words(F.col(tokens)) if is_text else F.col(tokens))
+        return _lookup_by_join(listed, vocab.select("token", "id"), key, "_tokens", out, F.lit(unknown)).drop("_tokens")
     known = [r["token"] for r in rows]
     ids = np.array([r["id"] for r in rows] + [unknown], dtype=np.int32)
 
     @F.arrow_udf("array<int>")
-    def lookup(lists: pa.Array) -> pa.Array:
+    def lookup(column: pa.Array) -> pa.Array:
+        lists = pc.split_pattern(column, " ") if is_text else column
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        found = pc.index_in(lists.flatten(), value_set=pa.array(known, pa.string()))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = lists.flatten()
+        if is_text:
+            # nothing stands between two blanks, at the ends or in an empty text
+            full = pc.not_equal(flat, "")
+            ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends]
+            flat = flat.filter(full)
+        found = pc.index_in(flat, value_set=pa.array(known, flat.type))
         at = pc.fill_null(found, len(known)).to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[at]))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[at]))
 
     return df.withColumn(out, apart(lookup)(F.col(tokens)))
 

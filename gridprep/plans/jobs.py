@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from gridprep.constants import CONTEXT_LENGTH, DEFAULT_GENERATIONS
 from gridprep.functions.names import swap_extension
-from gridprep.functions.text import words
 from gridprep.functions.tokens import text_prefix
 from gridprep.operators.augment import augment, decode_palette
 from gridprep.operators.batches import collate
@@ -37,13 +36,12 @@ def grids_to_training_table(grids, metadata, context_length=CONTEXT_LENGTH, perm
     ensure_checkpoint_dir(grids.sparkSession)
     # read three times below: for the vocabulary, for the identities and for the table
     fitted = fit_grid(grids).checkpoint()
-    texts = to_sequence(augment(fitted, permutations))
-    vocab = build_vocab(texts)
-    encoded = encode_ids(
-        texts.withColumn("_tokens", words(F.col("text"))), vocab, ["generation", "game_name", "name"], "_tokens"
-    ).drop("_tokens", "data")
-    described = join_metadata(index_keys(encoded), metadata)
-    train = chunk_pad(described, "input_ids", context_length)
+    grids = augment(fitted, permutations)
+    vocab = build_vocab(to_sequence(grids.select("data")))
+    # names are all that the keys and the metadata need, so texts are not made for them
+    texts = to_sequence(join_metadata(index_keys(grids), metadata))
+    encoded = encode_ids(texts, vocab, ["generation", "game_name", "name"], "text").drop("data")
+    train = chunk_pad(encoded, "input_ids", context_length)
     train = train.withColumn("input_text", text_prefix(F.col("text"))).withColumnRenamed("text", "original_text")
     return train, vocab
 

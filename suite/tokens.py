@@ -29,7 +29,7 @@ def marker_ids_query(spark, sf):
 
 
 def encoded(spark, sf):
-    return encode_ids(X.document_tokens(spark, sf), X.benchmark_vocab(spark, sf), ["doc_id"])
+    return encode_ids(X.document_tokens(spark, sf), X.benchmark_vocab(spark, sf), ["doc_id"], "seq")
 
 
 def encode_ids_query(spark, sf):

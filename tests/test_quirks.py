@@ -166,6 +166,9 @@ def test_names(spark):
 
 def test_sequence_text(spark):
     assert value(spark, T.sequence_text(F.lit("a b c\n\n  \nd\ne f"), 3)) == "[ROW_00] b c [ROW_01] [ROW_02] f"
+    assert value(spark, T.sequence_text(F.lit("a b c d\n\nd\ne f"), 3)) == "[ROW_00] b c [ROW_01] [ROW_02] f"
+    assert value(spark, T.sequence_text(F.lit("a\tb\tc\td\ne  f"), 3)) == "[ROW_00] b c [ROW_01] f"
+    assert value(spark, T.sequence_text(F.lit("\n".join(["a b"] * 66)))).endswith("[ROW_63] b [ROW_64] b [ROW_65] b")
     assert value(spark, T.sequence_text_bos(F.lit("a b c\nd e"), 3)) == "[BOS] a b 00 d [EOS]"
     assert value(spark, T.sequence_text_bos(F.lit("a"), 1)) == "[EOS]"
 
@@ -217,6 +220,8 @@ def test_vocabulary_and_lookups(spark):
     probes = spark.createDataFrame([(1, ["a", "zz", "[ROW_01]"]), (2, []), (3, ["~"] * 5)], "k INT, tokens ARRAY<STRING>")
     expected = [(1, [71, 3, 5]), (2, []), (3, [73] * 5)]
     for limit in (65_536, 5):
+        texts = probes.select("k", F.concat(F.lit(" "), F.array_join("tokens", "  ")).alias("tokens"))
+        assert sorted((r["k"], r["input_ids"]) for r in encode_ids(texts, vocab, ["k"], limit=limit).collect()) == expected
         coded = encode_ids(probes, vocab, ["k"], limit=limit).drop("tokens")
         assert sorted((r["k"], r["input_ids"]) for r in coded.collect()) == expected
         back = decode_ids(coded, vocab, ["k"], limit=limit)
