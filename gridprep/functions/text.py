@@ -77,6 +77,12 @@ def with_kept(df, out, value, accept):
     return df.select("*", F.explode(F.filter(F.array(value), accept)).alias(out))
 
 
+def rows_where(df, value, accept):
+    """Keep the rows whose value `accept` holds for, where this stands: a costly filter stays behind
+    a repartition and does not compute the value again."""
+    return with_kept(df, "_value", value, accept).drop("_value")
+
+
 def hash_int(seed, *keys):
     """A 60-bit integer from the seed and the keys, the same in every engine that has md5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k) if isinstance(k, str) else k for k in keys])

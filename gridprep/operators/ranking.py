@@ -8,6 +8,8 @@ from gridprep.functions.text import let
 from gridprep.session import ensure_checkpoint_dir, shuffle_partitions
 
 OVERSAMPLE = 8
+# more split points than this make plans slow to build; `parts` may ask for more
+MAX_PARTS = 1024
 
 
 def _split_points(df, order, n):
@@ -53,7 +55,7 @@ def global_rank(keys, order, out="rank", parts=None):
     spark = keys.sparkSession
     ensure_checkpoint_dir(spark)
     keys = keys.checkpoint()
-    points = _split_points(keys, order, parts or shuffle_partitions(spark))
+    points = _split_points(keys, order, parts or min(shuffle_partitions(spark), MAX_PARTS))
     located = keys.withColumn("_part", _part_of(F.struct(*order), points))
     sizes = located.groupBy("_part").count()
     starts = sizes.select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridprep.constants import DOMINANCE_THRESHOLD, GENERATIONS, GRID_SIZE
 from gridprep.functions import grids
-from gridprep.functions.text import with_kept, words
+from gridprep.functions.text import rows_where, with_kept, words
 
 
 def select_generations(df, generations, known=GENERATIONS):
@@ -40,11 +40,11 @@ def non_empty(df, data="data"):
 
 
 def filter_border(df, data="data"):
-    return df.where(grids.border_is_blank(grids.grid_cells(F.col(data))))
+    return rows_where(df, F.col(data), lambda d: grids.border_is_blank(grids.grid_cells(d)))
 
 
 def filter_dominant(df, data="data", threshold=DOMINANCE_THRESHOLD):
-    return df.where(~grids.is_dominated(words(F.col(data)), threshold))
+    return rows_where(df, F.col(data), lambda d: ~grids.is_dominated(words(d), threshold))
 
 
 def fit_grid(df, data="data", size=GRID_SIZE):
@@ -57,7 +57,7 @@ def fit_grid(df, data="data", size=GRID_SIZE):
 
 def filter_oversize(df, data="data", size=GRID_SIZE):
     """Grids that fit size × size once trimmed, as they are."""
-    return df.where(grids.fits(grids.trim_blank(grids.grid_cells(F.col(data))), size))
+    return rows_where(df, F.col(data), lambda d: grids.fits(grids.trim_blank(grids.grid_cells(d)), size))
 
 
 def filter_exact(images, size=GRID_SIZE):

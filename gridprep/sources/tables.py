@@ -1,5 +1,6 @@
 """Keyed Parquet tables of grids and images, and point reads from them."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window, functions as F
 
 from gridprep.operators.joins import bounded_rows
@@ -46,8 +47,8 @@ def upsert(df, path, order=None):
     rows = df if order is None else last_per_key(df, KEY, order)
     try:
         stored = spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         stored = None
     if stored is not None:
