@@ -106,11 +106,13 @@ def word_bounds(data, offsets, letters_only=False):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data, offsets, letters_only=False):
-    """(mixed hash of every word, word offsets of the rows)."""
+def word_hashes(data, offsets, letters_only=False, most=None):
+    """(mixed hash of every word, or of its first `most` bytes; word offsets of the rows)."""
     if letters_only:
         data = _blank_signs(data)
     starts, ends, word_offsets = word_bounds(data, offsets, letters_only)
+    if most is not None:
+        ends = np.minimum(ends, starts + most)
     at_start = np.empty(len(starts), np.uint64)
     at_end = np.empty(len(ends), np.uint64)
     back = np.empty(len(starts), np.uint64)
