@@ -3,38 +3,49 @@
 from pyspark.sql import functions as F
 
 from gridprep.llm import langid, quality, toxicity
+from gridprep.llm.decontam import contaminated
 from gridprep.llm.dedup import near_duplicates
 from gridprep.llm.tables import fold_of, load
 
 
+def op2_decontamination(spark, sf_dir):
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_dedup(spark, sf_dir):
     return near_duplicates(load(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def _held_out(folds, fold):
+    """Rows that no model has learned from; a null id is in no training fold."""
+    return F.coalesce(fold_of("doc_id", folds) == fold, F.lit(True)).alias("held_out")
+
+
 def op4_toxicity(spark, sf_dir):
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold_of("doc_id", 5) != 0))
     scores = toxicity.score(docs, model)
-    return scores.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scores.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_quality(spark, sf_dir):
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(fold_of("doc_id", 4) != 2))
     scores = quality.score(docs, model)
-    return scores.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scores.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_language(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train_fold(docs, 4, 2))
-    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_languages")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "n_languages")
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op9_language": op9_language,
-    "op3_minhash_dedup": op3_minhash_dedup,
 }
 ORACLES = {}
