@@ -1,17 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Every document becomes the set of its distinct word shingles. Of `HASHES` minima only the low
-`BITS` bits are kept, packed into 64 bytes; before that, runs of `ROWS` whole minima are hashed
-to `HASHES / ROWS` band keys. Documents that share a band key are candidates, the share of equal b-bit
-fields, corrected for fields that agree by chance, drops hopeless pairs, and the rest are confirmed
-on their full sets.
-
-With 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability 5e-8, and the
-estimate's slack of six standard deviations loses fewer than 1e-8 of such pairs.
-
-No group's pairs are listed. Equal sets are one node. In each band group every member is compared
-with the smallest id; only members that are then not yet connected with the group's largest
-component are compared with those of other components.
+Every document becomes the set of its distinct word shingles. Runs of `ROWS` whole minima are hashed
+to `BANDS` band keys; of the first `HASHES` minima the low `BITS` bits are kept, packed into 64 bytes.
+Documents that share a band key are candidates, the share of equal b-bit fields, corrected for fields that
+agree by chance, drops hopeless pairs, and the rest are confirmed on their full sets.
+
+With 48 bands of 6 rows a pair of similarity 0.8 shares no band with probability 5e-7, one of
+similarity 0.35 shares a given band with probability 0.002, and the estimate's slack of six standard
+deviations loses fewer than 1e-8 of the pairs at the limit.
+
+No group's pairs are listed. Equal sets are one node. In each band group the members are compared with one
+chosen at random from the group's largest component, each band choosing anew, for `STARS`
+rounds; only members that are then still apart from it are compared with all members of other components.
 """
 
 import numpy as np
@@ -21,22 +21,27 @@ from pyspark.sql import functions as F
 from gridprep.llm import words as W
 from gridprep.llm.components import components
 from gridprep.llm.tables import written
+from gridprep.operators.joins import broadcast_if_small
 
-HASHES, BITS, ROWS = 128, 4, 4
+HASHES, BITS = 128, 4
+BANDS, ROWS = 48, 6
+MINIMA = BANDS * ROWS
+STARS = 3
+MOST_SENT_IDS = 1_000_000  # candidate ids sent to all tasks; more are joined by shuffle
 FIELDS = 64 // BITS
 SLICE = 4 << 20
-LONGEST = 4096
+LONGEST = 1024
 
 _random = np.random.default_rng(7)
-_FACTORS = (_random.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_TERMS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
+_FACTORS = (_random.integers(1, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_TERMS = _random.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
 _SEEDS = _random.integers(1, 1 << 63, 2, dtype=np.uint64)
 
 
 def minima(shingles):
     """The smallest value of each hash function over the (mixed, 64-bit) shingles."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     for low in range(0, len(x), LONGEST):
         np.minimum(out, (_FACTORS * x[None, low:low + LONGEST] + _TERMS).min(axis=1), out=out)
     return out
@@ -75,14 +80,14 @@ def _sketches(size):
     def run(batches):
         for batch in batches:
             for low, sets in shingle_sets(batch.column(1), size):
-                lows = np.array([minima(s) for s in sets], np.uint32).reshape(len(sets), HASHES)
+                lows = np.array([minima(s) for s in sets], np.uint32).reshape(len(sets), MINIMA)
                 digest = [[W.mix(s ^ seed).sum(dtype=np.uint64) for s in sets] for seed in _SEEDS]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         *[pa.array(W.as_signed(np.array(d, np.uint64))) for d in digest],
-                        _lists(packed(lows)), _lists(band_keys(lows)),
+                        _lists(packed(lows[:, :HASHES])), _lists(band_keys(lows)),
                     ],
                     names=["doc_id", "n_shingles", "digest_a", "digest_b", "signature", "bands"],
                 )
@@ -134,7 +139,7 @@ def _confirmed(pairs, nodes, docs, size, percent):
         .select("a", "b"),
         "pairs",
     )
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = broadcast_if_small(written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), MOST_SENT_IDS)
     sets = written(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "node bigint, shingles array<bigint>"), "sets")
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -142,6 +147,18 @@ def _confirmed(pairs, nodes, docs, size, percent):
     return links.where(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b").distinct()
 
 
+def _apart(groups, roots, seed):
+    """The members of groups that are not one component yet: band, node, root, largest component."""
+    if roots is None:
+        labelled = groups.withColumn("root", F.col("node"))
+    else:
+        labelled = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
+    order = F.struct("n", F.xxhash64(F.lit(seed), "band", "root"), "root")
+    largest = parts.groupBy("band").agg(F.max_by("root", order).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    return labelled.join(largest.drop("parts"), "band")
+
+
 def near_duplicates(docs, size=5, percent=80):
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -166,31 +183,30 @@ def near_duplicates(docs, size=5, percent=80):
         real.groupBy(*digest).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
         "nodes",
     )
-    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last")
-    groups = written(rows.join(shared.drop("_last"), "band"), "groups")
-
-    star = groups.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    found = written(_confirmed(star, nodes, docs, size, percent), "links")
-    labels = components(found)
-
-    # groups whose members are not all connected yet
-    labelled = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = written(labelled.join(largest.drop("parts"), "band"), "open")
-    one = open_rows.where("root <> largest AND pivot <> node").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"))
-    other = open_rows.where("pivot <> node").select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"))
+    rows = nodes.select("node", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("node").alias("_first"), F.max("node").alias("_last")).where("_first < _last")
+    groups = written(rows.join(shared.select("band"), "band"), "groups")
+
+    links, roots = None, None
+    for seed in range(STARS):
+        apart = _apart(groups, roots, seed)
+        center = apart.where("root = largest").groupBy("band").agg(F.min_by("node", F.xxhash64(F.lit(seed), "band", "node")).alias("center"))
+        star = apart.where("root <> largest").join(center, "band").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+        more = written(_confirmed(star.distinct(), nodes, docs, size, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        roots = components(links)
+    apart = written(_apart(groups, roots, STARS).join(nodes.select("node", "n_shingles"), "node"), "apart")
+    one = apart.where("root <> largest").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"))
+    other = apart.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"))
     rest = (
         one.join(other, "band")
-        .where("x <> y AND root_x <> root_y")
+        .where("root_x <> root_y")
         .where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
     )
     more = written(_confirmed(rest, nodes, docs, size, percent), "links")
-    roots = components(found.unionByName(more))
+    roots = components(links.unionByName(more))
 
     of_digest = nodes.join(roots, "node", "left").select(*digest, F.coalesce("root", "node").alias("_root"))
     linked = real.select("doc_id", *digest).join(of_digest, digest, "left")
