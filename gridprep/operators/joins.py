@@ -35,3 +35,29 @@ def join_unique(df, table, on, how="inner", spread=None, limit=MAX_BROADCAST_ROW
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+ROWS_PER_TASK = 1_000_000
+
+
+def spread_join(df, table, key, how="inner", spread=None, rows_per_task=ROWS_PER_TASK):
+    """Join on one key column of which single values may hold a large share of `df`.
+
+    Keys with more than `rows_per_task` rows are cut into that many parts by a hash of the `spread` columns, and only their rows of
+    `table` are copied, once for each part. All other keys join as they are. `table` may hold several rows per key.
+    """
+    spread = spread or [c for c in df.columns if c != key] or [key]
+    parts = F.ceil(F.col("count") / rows_per_task).cast("int").alias("_parts")
+    hot = df.groupBy(key).count().where(F.col("count") > rows_per_task).select(F.col(key).alias("_hot"), parts)
+    hot = bounded_rows(hot)
+    if hot is None:  # more hot keys than fit a task: Spark splits skewed partitions by itself
+        return df.join(table, key, how)
+    if not hot:
+        return df.join(table, key, how)
+    spark = df.sparkSession
+    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], f"_hot {df.schema[key].dataType.simpleString()}, _parts int"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))
+    left = df.join(hot, df[key] == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    right = table.join(hot, table[key] == F.col("_hot"), "left").withColumn("_salt", copies).drop("_hot", "_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
