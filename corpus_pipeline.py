@@ -1,26 +1,84 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
 
+Every stage takes the rows its predecessor kept. Rows are dropped by id, from a table of the ids that go: one
+of up to `MOST_SENT_IDS` ids is sent to the tasks, so that the texts do not move; a larger one is joined by
+shuffle. A null doc_id names no document, so its row is never dropped by id.
+"""
+
+from pyspark.sql import functions as F
+
+from gridprep.llm import langid, pii
+from gridprep.llm.decontam import contaminated
 from gridprep.llm.dedup import near_duplicates
-from gridprep.llm.tables import load, shared_folder
+from gridprep.llm.packing import pack
+from gridprep.llm.tables import load, shared_folder, written
+from gridprep.operators.joins import broadcast_if_small
+
+MOST_SENT_IDS = 1_000_000
+LEAST_SHARE = 0.4  # of a document's words in its main language
+
+
+def _without(docs, ids):
+    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
+    return docs.join(broadcast_if_small(ids, MOST_SENT_IDS), "doc_id", "left_anti").select(docs.columns)
+
+
+def known_language(spark, docs, sf_dir):
+    """Drop documents without a letter and those in which no language has LEAST_SHARE of the words.
+
+    If no document states its language, nothing can be learned and nothing is dropped."""
+    model = langid.train_fold(docs)
+    if not model[0]:
+        return docs
+    found = langid.identify(docs, model)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("doc.*")
 
 
 def deduplicate(spark, docs, sf_dir):
-    """Keep one document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    """Keep one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id with the same text one stays."""
+    found = written(near_duplicates(docs.select("doc_id", "text"), size=5, percent=80), "found")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        same = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+        docs = _without(docs, repeated).unionByName(same)
+    return _without(docs, found.where("NOT kept"))
+
+
+def decontaminate(spark, docs, sf_dir):
+    """Drop documents that hold a benchmark item."""
+    return _without(docs, contaminated(docs.select("doc_id", "text"), load(spark, sf_dir, "benchmark")))
+
+
+def redact(spark, docs, sf_dir):
+    """Put the kind's name in place of personal data; n_chars follows. A null text becomes empty."""
+    done = pii.redact(pii.find(docs, pii.train(docs)))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(docs.columns)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Places of the documents' pieces in sequences of 1024 tokens."""
+    return pack(docs.select("doc_id", "text"))
 
 
 STAGES = [
+    ("language-id", known_language),
     ("near-dedup", deduplicate),
+    ("decontamination", decontaminate),
+    ("pii", redact),
+    ("packing", pack_sequences),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # models, hashing and tokenizers are beyond SQL; tests/llm compares each stage with brute force
 
 
 def run(spark, sf_dir):
-    """All stages over `documents`, each written as Parquet and read again."""
+    """All stages over `documents`, each but the last written as Parquet and read again."""
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

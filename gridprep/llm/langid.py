@@ -168,23 +168,24 @@ def _predict(languages, log_p):
                         pa.array(np.clip(np.where(known, share, 0.0), 0, 1)),
                         pa.array(np.where(known, size, 0).astype(np.int32)),
                     ],
-                    names=["doc_id", "lang_pred", "score", "n_languages"],
+                    names=["doc", "lang_pred", "score", "n_languages"],
                 )
 
     return run
 
 
 def identify(docs, model):
-    """One row per row of `docs` (doc_id, text): doc_id, lang_pred, score, n_languages.
+    """One row per row of `docs` (text, ...): doc (the row), lang_pred, score, n_languages.
 
     `score` is the share of the main language. A null, empty or letterless text is `und` with score 0 and no
     languages, and so is every text if the model has no language. Ties go to the language
-    first in the alphabet. Repeated rows each get a row; other columns are ignored.
+    first in the alphabet. Repeated rows each get a row. The row is kept whole in `doc`, so that no column
+    of it can clash.
     """
     languages, log_p = model
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(_predict(languages, log_p), "doc_id bigint, lang_pred string, score double, n_languages int")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    return rows.mapInArrow(_predict(languages, log_p), f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double, n_languages int")
 
 
 def train_fold(docs, folds=4, held_out=2):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridprep.llm import langid, quality, toxicity, urlfilter
+from gridprep.llm import langid, pii, quality, toxicity, urlfilter
 from gridprep.llm.ann import nearest
 from gridprep.llm.decontam import contaminated
 from gridprep.llm.dedup import near_duplicates
@@ -11,6 +11,11 @@ from gridprep.llm.tables import fold_of, load, shared_folder
 from gridprep.llm.warc import read_archives, write_archives
 
 
+def op1_pii(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.find(docs, pii.train(docs)))
+
+
 def op2_decontamination(spark, sf_dir):
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -57,8 +62,8 @@ def op8_warc(spark, sf_dir):
 
 def op9_language(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    found = langid.identify(docs, langid.train_fold(docs, 4, 2))
-    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "n_languages")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train_fold(docs, 4, 2))
+    return found.select("doc.doc_id", "lang_pred", "score", "n_languages").select("doc_id", _held_out(4, 2), "lang_pred", "score", "n_languages")
 
 
 # A capture's fetch time and a list's history do not come with the tables; both follow from hashes of what does.
@@ -125,6 +130,7 @@ FROM parsed p LEFT JOIN found f ON p.capture = f.capture AND f.place = 1
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_toxicity": op4_toxicity,
