@@ -47,13 +47,9 @@ def _tokens(data, offsets):
     return np.stack([hashes, W.mix(stems ^ _STEM_MARK)], axis=1).ravel(), bounds * 2
 
 
-def _hash(word):
-    return int(W.word_hashes(*W.column_bytes(pa.array([word])), letters_only=True)[0][0])
-
-
 def identity_lines():
-    """The hashes of the identity terms, line by line."""
-    return [[_hash(term) for term in line] for line in IDENTITY_TERMS]
+    """The tokens (word, beginning) of the identity terms, line by line."""
+    return [[tuple(int(h) for h in _tokens(*W.column_bytes(pa.array([term])))[0]) for term in line] for line in IDENTITY_TERMS]
 
 
 def feature_hits(column, keys):
@@ -116,20 +112,19 @@ def bounded_sample(labels, label, most):
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _swaps(keys, row, feature, lines):
+def _swaps(keys, feature, lines):
     """Differences between the sample's texts and their copies with another identity term."""
     place = {int(k): i for i, k in enumerate(keys)}
     rows, columns, values, count = [], [], [], 0
     for line in lines:
-        terms = [place[t] for t in line]
-        for a in terms:
-            texts = int((feature == a).sum())
-            for b in terms if texts else []:
+        for a in line:
+            texts = int((feature == place[a[0]]).sum())
+            for b in line if texts else []:
                 if a != b:
                     weight = np.sqrt(texts)
-                    rows += [count, count]
-                    columns += [a, b]
-                    values += [-weight, weight]
+                    rows += [count] * 4
+                    columns += [place[t] for t in (*a, *b)]
+                    values += [-weight, -weight, weight, weight]
                     count += 1
     return Rows(np.array(rows, np.int64), np.array(columns, np.int64), np.array(values, float), count, len(keys))
 
@@ -144,7 +139,7 @@ def train(docs, labels, sample=SAMPLE, features=FEATURES):
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(rows.join(F.broadcast(chosen), "doc_id").select("label", "text"), "sample")
     lines = identity_lines()
-    always = {t for line in lines for t in line}
+    always = {t for line in lines for term in line for t in term}
     counts = rows.mapInArrow(_word_counts, "word bigint, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     totals = rows.agg(F.count("*").alias("n"), F.sum("label").alias("n1")).head()
     n1, n0 = int(totals["n1"] or 0), int(totals["n"]) - int(totals["n1"] or 0)
@@ -160,7 +155,7 @@ def train(docs, labels, sample=SAMPLE, features=FEATURES):
     feature = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy())
     data = Rows(row, feature, np.ones(len(row)), len(label), len(keys))
-    weights, intercept = fit(data, label, penalty=PENALTY, balanced=True, equal=_swaps(keys, row, feature, lines), equal_penalty=COUNTERFACTUAL)
+    weights, intercept = fit(data, label, penalty=PENALTY, balanced=True, equal=_swaps(keys, feature, lines), equal_penalty=COUNTERFACTUAL)
     return keys, weights, intercept
 
 
