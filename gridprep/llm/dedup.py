@@ -11,7 +11,9 @@ deviations loses fewer than 1e-8 of the pairs at the limit.
 
 No group's pairs are listed. Equal sets are one node. In each band group the members are compared with one
 chosen at random from the group's largest component, each band choosing anew, for `STARS`
-rounds; only members that are then still apart from it are compared with all members of other components.
+rounds. After the first, members of groups that are still apart are compared with all that share a rare
+shingle with them, and leave the groups if their common shingles are too few for any other link; what is left
+apart at the end is compared with all members of other components.
 """
 
 import numpy as np
@@ -26,7 +28,8 @@ from gridprep.operators.joins import broadcast_if_small
 HASHES, BITS = 128, 4
 BANDS, ROWS = 48, 6
 MINIMA = BANDS * ROWS
-STARS = 3
+STARS = 2
+RARE = 8
 MOST_SENT_IDS = 1_000_000  # candidate ids sent to all tasks; more are joined by shuffle
 FIELDS = 64 // BITS
 SLICE = 4 << 20
@@ -128,23 +131,58 @@ def estimated_similarity(a, b):
     return (_equal_fields(a, b) / F.lit(HASHES) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _confirmed(pairs, nodes, docs, size, percent):
+def _confirmed(pairs, nodes, sets, percent):
     """The pairs (a, b) that are similar enough: by size, by estimate, then on full sets."""
     slack = 6 * ((percent / 100) * (1 - percent / 100) / HASHES) ** 0.5 / (1 - 1 / (1 << BITS))
     a, b = (nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in "ab")
-    likely = written(
+    likely = (
         pairs.join(a, "a").join(b, "b")
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .where(estimated_similarity(F.col("s_a"), F.col("s_b")) >= percent / 100 - slack)
-        .select("a", "b"),
-        "pairs",
+        .select("a", "b")
     )
-    needed = broadcast_if_small(written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), MOST_SENT_IDS)
-    sets = written(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "node bigint, shingles array<bigint>"), "sets")
+    enough = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
+    return _intersections(likely, sets).where(enough).select("a", "b").distinct()
+
+
+def _intersections(pairs, sets):
+    """The pairs (a, b) with the sizes of their sets and of what they share."""
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    links = likely.join(a, "a").join(b, "b").withColumn("both", both)
-    return links.where(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b").distinct()
+    found = pairs.join(a, "a").join(b, "b")
+    return found.select(
+        "a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b")
+    )
+
+
+def _rare(groups, nodes, sets, percent):
+    """(pairs, groups): pairs of members that share a rare shingle, and the members that other pairs may hold.
+
+    A shingle is rare if at most `RARE` members have it, so there are few such pairs. Any other pair shares
+    common shingles alone: a member with c of them among its n shares at most c with a set of at least the
+    group's smallest size, and leaves if that is too little for a link. The others come with n and c.
+    """
+    members = groups.select("node", "root").distinct()
+    owners = sets.join(members, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+    rare = owners.groupBy("shingle").agg(F.count("*").alias("owners")).where(F.col("owners") <= RARE)
+    held = written(owners.join(rare, "shingle"), "rare")
+    lists = held.where("owners > 1").groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("m"))
+    pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.filter("m", lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))
+    )))).alias("p")).select("p.*").distinct()
+
+    sizes = nodes.groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("_least"), F.count("*").alias("texts"))
+    counts = held.groupBy("node").agg(F.count("*").alias("rare"))
+    common = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("rare", F.lit(0))).otherwise(F.col("n"))
+    known = groups.select("band", "node").join(sizes, "node").join(counts, "node", "left").select("band", "node", "n", F.col("_least"), common.alias("common"))
+    least = known.groupBy("band").agg(F.min("_least").alias("least"))
+    kept = known.join(least, "band").withColumn("link", ~_too_few(F.col("common"), F.col("n"), F.greatest("common", "least"), percent))
+    hopeful = kept.groupBy("node").agg(F.bool_or("link").alias("link")).where("link").select("node")
+    return pairs, known.select("band", "node", "n", "common").join(hopeful, "node", "left_semi")
+
+
+def _too_few(shared, n_x, n_y, percent):
+    """Whether sets of these sizes with at most `shared` shingles in common cannot be linked."""
+    return 100 * shared < percent * (n_x + n_y - shared)
 
 
 def _apart(groups, roots, seed):
@@ -159,6 +197,35 @@ def _apart(groups, roots, seed):
     return labelled.join(largest.drop("parts"), "band")
 
 
+def _possible(apart, nodes, sets, percent):
+    """The pairs of members of open groups, of different components, that may still be linked.
+
+    They share no rare shingle. Seen from a group's center, the member with the most common shingles, two
+    members share at most the smaller of what each shares with it and the smaller of the common shingles each has
+    beside it.
+    """
+    apart = written(apart, "apart")
+    center = apart.groupBy("band").agg(F.max_by(F.struct("node", (F.col("n") - F.col("common")).alias("rare")), F.struct("common", "node")).alias("c"))
+    centered = written(apart.join(center, "band").select("*", F.col("c.node").alias("center"), F.col("c.rare").alias("_rare")).drop("c"), "centered")
+    shared = _intersections(centered.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sets)
+    shared = shared.groupBy("a", "b").agg(F.max("both").alias("inner"), F.min("both").alias("_least")).withColumnsRenamed({"a": "center", "b": "node"})
+    placed = written(
+        centered.join(shared, ["center", "node"]).join(nodes.select("node", "bands"), "node")
+        .select("band", "bands", "node", "root", "largest", "n", "common", "inner", (F.col("common") - F.col("_least") + F.col("_rare")).alias("outer")), "placed",
+    )
+    columns = ["node", "root", "n", "common", "inner", "outer", "bands"]
+    one, other = (part.select("band", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x, part in (("x", placed.where("root <> largest")), ("y", placed)))
+    most = F.least(F.least("common_x", "common_y"), F.least("inner_x", "inner_y") + F.least("outer_x", "outer_y"))
+    return (
+        one.join(other, "band")
+        .where("root_x <> root_y")
+        .where(~_too_few(most, F.col("n_x"), F.col("n_y"), percent))
+        .where(F.get(F.array_intersect("bands_x", "bands_y"), F.lit(0)) == F.col("band"))  # in the first group they share
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs, size=5, percent=80):
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -187,25 +254,27 @@ def near_duplicates(docs, size=5, percent=80):
     shared = rows.groupBy("band").agg(F.min("node").alias("_first"), F.max("node").alias("_last")).where("_first < _last")
     groups = written(rows.join(shared.select("band"), "band"), "groups")
 
+    ids = broadcast_if_small(written(groups.select(F.col("node").alias("doc_id")).distinct(), "ids"), MOST_SENT_IDS)
+    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "node bigint, shingles array<bigint>"), "sets")
+
     links, roots = None, None
     for seed in range(STARS):
         apart = _apart(groups, roots, seed)
-        center = apart.where("root = largest").groupBy("band").agg(F.min_by("node", F.xxhash64(F.lit(seed), "band", "node")).alias("center"))
+        # once known, members with the most common shingles: they are the least changed
+        order = F.struct(*(["common"] if seed else []), F.xxhash64(F.lit(seed), "band", "node"))
+        center = apart.where("root = largest").groupBy("band").agg(F.max_by("node", order).alias("center"))
         star = apart.where("root <> largest").join(center, "band").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-        more = written(_confirmed(star.distinct(), nodes, docs, size, percent), "links")
+        more = written(_confirmed(star.distinct(), nodes, sets, percent), "links")
         links = more if links is None else links.unionByName(more)
         roots = components(links)
-    apart = written(_apart(groups, roots, STARS).join(nodes.select("node", "n_shingles"), "node"), "apart")
-    one = apart.where("root <> largest").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"))
-    other = apart.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"))
-    rest = (
-        one.join(other, "band")
-        .where("root_x <> root_y")
-        .where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    more = written(_confirmed(rest, nodes, docs, size, percent), "links")
+        if seed == 0:
+            open_groups = written(_apart(groups, roots, seed).select("band", "node", "root"), "open")
+            pairs, groups = _rare(open_groups, nodes, sets, percent)
+            links = links.unionByName(written(_confirmed(pairs, nodes, sets, percent), "links"))
+            roots = components(links)
+            groups = written(groups, "groups")
+    rest = _possible(_apart(groups, roots, STARS), nodes, sets, percent)
+    more = written(_confirmed(rest, nodes, sets, percent), "links")
     roots = components(links.unionByName(more))
 
     of_digest = nodes.join(roots, "node", "left").select(*digest, F.coalesce("root", "node").alias("_root"))
