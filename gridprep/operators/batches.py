@@ -1,9 +1,8 @@
 """Batches and inventories."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from gridprep.operators.joins import broadcast_if_small
-from gridprep.operators.ranking import global_rank
+from gridprep.session import ensure_checkpoint_dir
 
 # (name in the batch, column, column that decides whether the batch carries it)
 TRAINING_FIELDS = [
@@ -21,17 +20,37 @@ TRAINING_FIELDS = [
     ("has_evolution", "has_evolution_idx", "type1_idx"),
     ("name_chars", "name_chars", "name_chars"),
     ("color_shift", "color_shift", "color_shift"),
+    *[(field, field, field) for field in (
+        "is_legendary_idx", "is_mythical_idx", "is_baby_idx", "color_idx", "shape_idx", "habitat_idx",
+    )],
 ]
+IGNORED_LABEL = -100
 
 
 def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
-    """One row per batch of consecutive rows in the order of the `order` columns, which are
-    unique together. Each field is an array over the batch; it is null if its deciding
-    column is null in any row or missing from the table."""
+    """One row per batch of consecutive rows in the order of the `order` columns; nulls come first and rows
+    that are equal there follow each other in any order. Each field is an array over the batch; it is
+    null if its deciding column is null in any row or missing from the table. Labels are the ids, with
+    IGNORED_LABEL where the attention mask is 0, so that padding counts in no loss.
+
+    The rows are cut into ranges of the order once and numbered where they lie.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    if {"labels", "input_ids", "attention_mask"} <= set(df.columns):
+        df = df.withColumn("labels", F.zip_with(
+            "input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(IGNORED_LABEL)).otherwise(i)
+        ))
     known = set(df.columns)
     used = [(out, column, guard) for out, column, guard in fields
             if column in known and (guard is None or guard in known)]
-    ranked = df.join(broadcast_if_small(global_rank(df.select(*order), order, "_rank")), order)
+    place = F.monotonically_increasing_id()
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_part": F.spark_partition_id(), "_inside": place.bitwiseAND(F.lit((1 << 33) - 1))}
+    ).checkpoint()
+    sizes = sorted_rows.groupBy("_part").count()
+    starts = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start"))
+    # one row per part
+    ranked = sorted_rows.join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_inside"))
     inputs = sorted({c for _, column, _ in used for c in (column,)})
     guards = sorted({guard for _, _, guard in used if guard})
     batches = ranked.groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(

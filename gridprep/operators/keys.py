@@ -10,11 +10,12 @@ from gridprep.operators.ranking import global_rank
 def index_keys(df, name="name", out="identity_idx"):
     """Number the identities in key order, from 0.
 
-    Only distinct keys are sorted, and the rows do not move if there are few of them.
+    Only distinct keys are sorted, and the rows do not move if there are few of them. A null name has no
+    identity and a null number.
     """
     keyed = df.withColumn("_key", identity_key(F.col(name)))
-    index = global_rank(keyed.select("_key").distinct(), ["_key"], out)
-    return join_unique(keyed, index, ["_key"], spread=df.columns).drop("_key")
+    index = global_rank(keyed.select("_key").where("_key IS NOT NULL").distinct(), ["_key"], out)
+    return join_unique(keyed, index, ["_key"], "left", spread=df.columns).drop("_key")
 
 
 def count_identities(df, name="name"):

@@ -17,9 +17,9 @@ MAX_ROUNDS = 62
 
 
 def shape_species(df, json="json"):
-    """Flat rows from the nested documents of the species service, sorted by id."""
+    """Flat rows from the nested documents of the species service, sorted by id. A cut-off document is an error."""
     roman = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in C.ROMAN.items()))
-    doc = df.select(F.from_json(json, schemas.SPECIES_JSON).alias("d")).select("d.*")
+    doc = df.select(F.from_json(json, schemas.SPECIES_JSON, {"mode": "FAILFAST"}).alias("d")).select("d.*")
     types = F.transform(
         F.array_sort(F.transform("types", lambda t: F.struct(t["slot"].alias("slot"), t["type"]["name"].alias("name")))),
         lambda t: t["name"],
@@ -73,10 +73,13 @@ def chain_stage(edges, targets, parent="parent", child="child", target="target")
 
     A target outside every chain gets (1, false). Every node keeps a link to an ancestor
     and its distance; each round doubles the distance, so a chain of depth d takes
-    log2(d) rounds. The linked side of the join has one row per node.
+    log2(d) rounds. The linked side of the join has one row per node: a child of two parents is an error.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     kind = edges.schema[child].dataType
+    edges = edges.select(parent, child).distinct().checkpoint()
+    if not edges.where(F.col(parent).isNotNull()).groupBy(child).count().where("count > 1").isEmpty():
+        raise ValueError("a child has two parents")
     steps = edges.where(F.col(parent).isNotNull()).select(
         F.col(child).alias("node"), F.col(parent).alias("up"), F.lit(1).cast("long").alias("distance")
     )

@@ -33,7 +33,7 @@ def weighted_nll(df, weights, group=(), labels="labels", nll="nll", ignore=-100,
     )
     total = F.sum(F.col("_w") * F.col("_nll"))
     divisor = F.sum(F.col("_w") * F.col("_n")) if count is None else F.max("_count")
-    loss = F.coalesce(F.try_divide(total, divisor), F.lit(0.0))
+    loss = F.nanvl(F.coalesce(F.try_divide(total, divisor), F.lit(0.0)), F.lit(0.0))
     return weighted.groupBy(*group).agg(loss.alias("loss"))
 
 

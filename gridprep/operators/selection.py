@@ -12,16 +12,20 @@ from gridprep.functions.pixels import over_white
 from gridprep.functions.text import hash_int
 from gridprep.functions.tokens import token_length
 from gridprep.operators.images import explode_pixels
-from gridprep.operators.joins import bounded_rows, broadcast_if_small, join_unique
-from gridprep.operators.ranking import global_rank
+from gridprep.operators.joins import bounded_rows, join_unique, spread_join
 
 HASH_BUCKET_BITS = 16
 HASH_BITS = 60
 
 
-def sample_fields(df, key, seed=0, ranges=FIELD_RANGES):
-    """Fill each field that is missing or null with a value drawn from its range."""
+def sample_fields(df, key, seed=0, ranges=FIELD_RANGES, n_identities=None):
+    """Fill each field that is missing or null with a value drawn from its range.
+
+    With `n_identities`, `identity_idx` is one of the fields: a given one is kept, any other is drawn from the known ones.
+    """
     columns = set(df.columns)
+    if n_identities is not None:
+        ranges = {**ranges, "identity_idx": n_identities}
     drawn = {}
     for field, size in ranges.items():
         value = (hash_int(seed, F.lit(field), *key) % size).cast("int")
@@ -29,7 +33,7 @@ def sample_fields(df, key, seed=0, ranges=FIELD_RANGES):
     return df.withColumns(drawn)
 
 
-def resolve_conditioning(df, key, seed=0, ranges=FIELD_RANGES):
+def resolve_conditioning(df, key, seed=0, ranges=FIELD_RANGES, n_identities=None):
     """A field's explicit value, else its fixed default, else a drawn one.
 
     Defaults: plain palette, not shiny, third or fourth generation.
@@ -44,7 +48,7 @@ def resolve_conditioning(df, key, seed=0, ranges=FIELD_RANGES):
         field: F.coalesce(F.col(field), default) if field in columns and field != "color_shift" else default
         for field, default in defaults.items()
     }
-    return sample_fields(df.withColumns(given), key, seed, ranges)
+    return sample_fields(df.withColumns(given), key, seed, ranges, n_identities)
 
 
 def sample_picks(targets, key, n_vectors, n=3, seed=0):
@@ -64,10 +68,11 @@ def sample_picks(targets, key, n_vectors, n=3, seed=0):
 def blend_vectors(picks, vectors, key, vec_id="vec_id", vector="vector"):
     """The picked vectors of each target, added up with softmax weights.
 
-    `picks` holds (key, pick, vec_id, logit), a few per target.
+    `picks` holds (key, pick, vec_id, logit), a few per target. The result is null if a picked vector is not found.
     """
-    found = picks.join(vectors.select(vec_id, vector), vec_id)
+    found = spread_join(picks, vectors.select(vec_id, vector), vec_id, "left", spread=[*key, "pick"])
     picked = found.groupBy(*key).agg(
+        F.bool_and(F.col(vector).isNotNull()).alias("_all"),
         F.sort_array(F.collect_list(F.struct("pick", "logit", F.col(vector).cast("array<double>").alias("v")))).alias("_p")
     )
     top = F.array_max(F.transform("_p", lambda s: s["logit"]))
@@ -80,7 +85,9 @@ def blend_vectors(picks, vectors, key, vec_id="vec_id", vector="vector"):
             lambda a, v: a + v,
         ),
     )
-    return picked.withColumn("_top", top).withColumn("_total", total).select(*key, blended.alias(vector))
+    return picked.withColumn("_top", top).withColumn("_total", total).select(
+        *key, F.when(F.col("_all"), blended).alias(vector)
+    )
 
 
 def sum_vectors(df, lookups, out="vector"):
@@ -170,12 +177,10 @@ def allowed_tokens(states, vocab, row="row", used="used", width=ROW_LENGTH - 1):
 def make_negatives(images, key, seed=0, frac=0.5):
     """Pixel rows of every image with label 1 and of one made-up counterpart with label 0.
 
-    By position in key order the counterpart has its rows shuffled, is noise, or has about
-    `frac` of its pixels replaced. The rows are shuffled as pieces of the image's bytes.
+    By a hash of the key the counterpart has its rows shuffled, is noise, or has about `frac` of its
+    pixels replaced. The rows are shuffled as pieces of the image's bytes. No row moves.
     """
-    ranked = global_rank(images.select(*key), key, "_rank")
-    strategy = ranked.select(*key, (F.col("_rank") % 3).cast("int").alias("strategy"))
-    placed = images.join(broadcast_if_small(strategy), key)
+    placed = images.withColumn("strategy", (hash_int(seed, F.lit("strategy"), *key) % 3).cast("int"))
     stride = F.col("width") * F.col("n_channels")
     new_order = F.array_sort(
         F.transform(

@@ -10,8 +10,9 @@ from gridprep.constants import (
     BACKGROUND_WEIGHT, BLANK, MAX_BROADCAST_ROWS, ROW_TOKENS, SPECIAL_TOKENS, UNK_ID,
 )
 from gridprep.functions.text import apart, words
-from gridprep.operators.joins import bounded_rows, join_unique
+from gridprep.operators.joins import bounded_rows, spread_join
 from gridprep.operators.ranking import global_rank
+from gridprep.session import ensure_checkpoint_dir
 
 def distinct_tokens(df, text="text"):
     """Each token of the corpus once; repeats inside a text go before the shuffle."""
@@ -27,17 +28,18 @@ def build_vocab(df, text="text", special=SPECIAL_TOKENS):
     return fixed.unionByName(ranked.select("token", (F.col("id") + len(special)).cast("int").alias("id")))
 
 
-def encode_ids(df, vocab, key, tokens="tokens", out="input_ids", unknown=UNK_ID, limit=MAX_BROADCAST_ROWS):
+def encode_ids(df, vocab, key=None, tokens="tokens", out="input_ids", unknown=UNK_ID, limit=MAX_BROADCAST_ROWS):
     """Replace tokens, an array or a text with blanks between them, by their ids.
 
-    A vocabulary of up to `limit` rows is sent to the tasks and no row moves. A larger
-    one is joined; `key` names the columns that identify a row there.
+    A vocabulary of up to `limit` rows is sent to the tasks and no row moves. A larger one is joined, with
+    the same result for any rows: `key` is not needed. Of a token listed twice the smallest id counts.
     """
     is_text = df.schema[tokens].dataType == T.StringType()
-    rows = bounded_rows(vocab.select("token", "id"), limit)
+    vocab = _one_per_key(vocab, "token", "id")
+    rows = bounded_rows(vocab, limit)
     if rows is None:
         listed = df.withColumn("_tokens", words(F.col(tokens)) if is_text else F.col(tokens))
-        return _lookup_by_join(listed, vocab.select("token", "id"), key, "_tokens", out, F.lit(unknown)).drop("_tokens")
+        return _lookup_by_join(listed, vocab, "_tokens", out, F.lit(unknown)).drop("_tokens")
     known = [r["token"] for r in rows]
     ids = np.array([r["id"] for r in rows] + [unknown], dtype=np.int32)
 
@@ -59,11 +61,12 @@ def encode_ids(df, vocab, key, tokens="tokens", out="input_ids", unknown=UNK_ID,
     return df.withColumn(out, apart(lookup)(F.col(tokens)))
 
 
-def decode_ids(df, vocab, key, ids="input_ids", out="tokens", limit=MAX_BROADCAST_ROWS):
+def decode_ids(df, vocab, key=None, ids="input_ids", out="tokens", limit=MAX_BROADCAST_ROWS):
     """Replace an array of ids by their tokens; an id that is not listed becomes null."""
-    rows = bounded_rows(vocab.select("id", "token"), limit)
+    vocab = _one_per_key(vocab, "id", "token")
+    rows = bounded_rows(vocab, limit)
     if rows is None:
-        return _lookup_by_join(df, vocab.select("id", "token"), key, ids, out, F.lit(None))
+        return _lookup_by_join(df, vocab, ids, out, F.lit(None))
     known = [r["id"] for r in rows]
     tokens = [r["token"] for r in rows]
 
@@ -77,22 +80,31 @@ def decode_ids(df, vocab, key, ids="input_ids", out="tokens", limit=MAX_BROADCAS
     return df.withColumn(out, apart(lookup)(F.col(ids)))
 
 
-def _lookup_by_join(df, table, key, column, out, default):
+def _lookup_by_join(df, table, column, out, default):
     """Look every element up by a join and put the arrays together again.
 
-    Each element is looked up once per row it occurs in.
+    Rows are numbered and written first, so that equal rows and null keys stay apart. Only number, places and
+    element are shuffled, each element once per row it occurs in; the rows of an element that a large share of them
+    holds are spread over tasks.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     source, target = table.columns
-    elements = df.select(*key, F.posexplode(column).alias("_pos", source))
-    repeated = elements.groupBy(*key, source).agg(F.collect_list("_pos").alias("_at"))
-    found = join_unique(repeated, table, [source], "left", spread=key, limit=0).select(
-        *key, F.explode("_at").alias("_pos"), F.coalesce(target, default).alias(target)
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    elements = rows.select("_row", F.posexplode(column).alias("_pos", source))
+    repeated = elements.groupBy("_row", source).agg(F.collect_list("_pos").alias("_at"))
+    found = spread_join(repeated, table, source, "left", spread=["_row"]).select(
+        "_row", F.explode("_at").alias("_pos"), F.coalesce(target, default).alias(target)
     )
-    arrays = found.groupBy(*key).agg(
+    arrays = found.groupBy("_row").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", target))), lambda e: e[target]).alias(out)
     )
     empty = F.array().cast(f"array<{table.schema[target].dataType.simpleString()}>")
-    return df.join(arrays, key, "left").withColumn(out, F.coalesce(out, empty))
+    return rows.join(arrays, "_row", "left").withColumn(out, F.coalesce(out, empty)).drop("_row")
+
+
+def _one_per_key(vocab, key, value):
+    """The smallest value of each key, so that a repeated key means the same whatever its size."""
+    return vocab.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
 
 
 def marker_ids(vocab):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridprep.constants import CONTEXT_LENGTH, DEFAULT_GENERATIONS
-from gridprep.functions.names import swap_extension
+from gridprep.functions.names import name_chars, swap_extension, variants
 from gridprep.functions.tokens import text_prefix
 from gridprep.operators.augment import augment, decode_palette
 from gridprep.operators.batches import collate
@@ -38,9 +38,10 @@ def grids_to_training_table(grids, metadata, context_length=CONTEXT_LENGTH, perm
     fitted = fit_grid(grids).checkpoint()
     grids = augment(fitted, permutations)
     vocab = build_vocab(to_sequence(grids.select("data")))
-    # names are all that the keys and the metadata need, so texts are not made for them
-    texts = to_sequence(join_metadata(index_keys(grids), metadata))
-    encoded = encode_ids(texts, vocab, ["generation", "game_name", "name"], "text").drop("data")
+    # the species does not depend on the variant, so its codes are joined before the rows multiply
+    described = augment(join_metadata(fitted, metadata), permutations)
+    named = described.withColumn("name_chars", name_chars(F.col("name")).cast("array<bigint>"))
+    encoded = encode_ids(to_sequence(index_keys(named)), vocab, tokens="text").drop("data")
     train = chunk_pad(encoded, "input_ids", context_length)
     train = train.withColumn("input_text", text_prefix(F.col("text"))).withColumnRenamed("text", "original_text")
     return train, vocab
@@ -53,11 +54,12 @@ def augment_preview(images):
     return pixels.withColumn("name", swap_extension(F.col("name"), ".txt", ".png"))
 
 
-def augment_counts(images):
+def augment_counts(images, permutations=None):
     """How many variants are saved and how many images are too large."""
     all_images = images.agg(F.count("*").alias("n")).scalar()
     fitting = fit_grid(encode_images(images)).agg(F.count("*").alias("n"))
-    return fitting.select((F.col("n") * 12).alias("saved"), (all_images - F.col("n")).alias("skipped"))
+    saved = (F.col("n") * len(variants(permutations))).alias("saved")
+    return fitting.select(saved, (all_images - F.col("n")).alias("skipped"))
 
 
 def training_to_batches(train, vocab, batch_size=16, order=("generation", "game_name", "name", "chunk")):
@@ -66,4 +68,4 @@ def training_to_batches(train, vocab, batch_size=16, order=("generation", "game_
 
 
 def decode_training_table(train, vocab):
-    return decode_ids(train, vocab, ["generation", "game_name", "name", "chunk"])
+    return decode_ids(train, vocab)

@@ -2,16 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from gridprep.constants import LOG_END, LOG_PATTERN
+from gridprep.constants import LOG_END, LOG_HEADER_ONLY, LOG_PATTERN
 from gridprep.operators.joins import join_unique
 
 
 def scan_log(spark, path):
     """Log files cut behind every end line, so that a large file is read by many tasks.
 
-    What follows the last end line of a file gets none; the sizes tell whether there is such a rest.
+    Line breaks are folded to line feeds. What follows the last end line of a file gets none; the sizes tell
+    whether there is such a rest. A file in which an end line follows a header at once, where it is not the
+    end of that sample, is read as one text.
     """
-    cut = spark.read.option("lineSep", LOG_END).text(path).select(
+    end = "\n" + LOG_END
+    cut = spark.read.option("lineSep", end).text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
@@ -19,11 +22,25 @@ def scan_log(spark, path):
     )
     ends = cut.groupBy("file").agg(
         F.max("at").alias("last"),
-        (F.sum(F.octet_length("value") + len(LOG_END)) > F.max("size")).alias("has_rest"),
+        (F.sum(F.octet_length("value") + len(end)) > F.max("size")).alias("has_rest"),
+        F.bool_or(F.col("value").rlike(LOG_HEADER_ONLY)).alias("whole"),
     )
     is_rest = F.col("has_rest") & (F.col("at") == F.col("last"))
-    end = F.when(is_rest, F.lit("")).otherwise(F.lit(LOG_END))
-    return join_unique(cut, ends, ["file"], spread=["at"]).select(F.concat("value", end).alias("text"))
+    pieces = join_unique(cut, ends, ["file"], spread=["at"]).where(~F.col("whole"))
+    # a carriage return before the end line belongs to its line break
+    text = F.when(is_rest, _folded(F.col("value"))).otherwise(
+        F.concat(_folded(F.regexp_replace("value", "\r$", "")), F.lit(end))
+    )
+    found = pieces.select(text.alias("text"))
+    whole = [row["file"] for row in ends.where("whole").select("file").collect()]
+    if whole:
+        texts = spark.read.text(whole, wholetext=True)
+        found = found.unionByName(texts.select(_folded(F.col("value")).alias("text")))
+    return found
+
+
+def _folded(text):
+    return F.regexp_replace(text, r"\r\n?", "\n")
 
 
 def scrape_log(df, text="text"):

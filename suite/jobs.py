@@ -20,7 +20,7 @@ def surviving_tokens(spark, sf):
 
 
 def grids_job(spark, sf):
-    return J.images_to_grids(sprites(spark, sf), ["gen4"]).select("generation", "game_name", "name", F.md5("data").alias("digest"))
+    return J.images_to_grids(sprites(spark, sf)).select("generation", "game_name", "name", F.md5("data").alias("digest"))
 
 
 def training_table(spark, sf):
@@ -55,16 +55,26 @@ def augment_counts_job(spark, sf):
     return J.augment_counts(sprites(spark, sf))
 
 
+# (field of the batch, column of the table)
+BATCH_CODES = {
+    "type2": "type2_idx", "is_shiny": "is_shiny", "evolution_stage": "evolution_stage_idx", "has_evolution": "has_evolution_idx",
+    **{c: c for c in ("is_legendary_idx", "is_mythical_idx", "is_baby_idx", "color_idx", "shape_idx", "habitat_idx")},
+}
+
+
 def batches_job(spark, sf):
     train, vocab = training_table(spark, sf)
     # as it would be read back from a stored version
-    stored = train.select("generation", "game_name", "name", "chunk", "identity_idx", "color_shift", "type1_idx",
-                          "generation_idx", "input_ids").checkpoint()
-    batches, _, _ = J.training_to_batches(stored, vocab)
+    batches, _, _ = J.training_to_batches(train.checkpoint(), vocab)
     return batches.select(
         "batch", "n", X.as_text("identity_idx").alias("identity_idx"), X.as_text("color_shift").alias("color_shift"),
         X.as_text("type1").alias("type1"), X.as_text("generation").alias("generation"),
         F.md5(F.array_join(F.flatten("input_ids").cast("array<string>"), " ")).alias("ids"),
+        F.md5(F.array_join(F.flatten("labels").cast("array<string>"), " ")).alias("labels"),
+        F.size(F.array_remove(F.flatten("attention_mask"), 0)).alias("n_tokens"),
+        F.size(F.flatten("row_ids")).alias("n_row_ids"), F.size(F.flatten("col_ids")).alias("n_col_ids"),
+        *[X.as_text(c).alias(c) for c in BATCH_CODES],
+        F.array_join(F.flatten("name_chars").cast("array<string>"), " ").alias("name_chars"),
     )
 
 
@@ -105,7 +115,7 @@ NAME_CODES = """array_to_string([CASE WHEN i <= length(stem) THEN ascii(stem[i])
 ORACLES = {
     "surviving_tokens": f"""WITH {VALID} SELECT generation, game_name, name, tok AS token, count(*) AS n
         FROM e JOIN ok USING (sid) JOIN nm USING (sid) GROUP BY ALL""",
-    "grids_job": f"""WITH {VALID} SELECT generation, game_name, name, md5(data) AS digest FROM grids SEMI JOIN ok USING (sid) WHERE generation = 'gen4'""",
+    "grids_job": f"""WITH {VALID} SELECT generation, game_name, name, md5(data) AS digest FROM grids SEMI JOIN ok USING (sid)""",
     "training_table_job": f"""WITH {TRAINING},
         st AS (SELECT *, substr(regexp_replace(name, '(_shiny)?(_female)?(_frame2)?(_flip)?\\.txt$', ''), 1, 16) AS stem FROM mt)
         SELECT name, generation, game_name, CAST(1 AS BIGINT) AS chunk, CAST(color_shift AS INT) AS color_shift, identity_idx,
@@ -123,9 +133,14 @@ ORACLES = {
     "augment_counts_job": f"""WITH {X.FITTED} SELECT 12 * (SELECT count(*) FROM fit) AS saved,
         (SELECT count(*) FROM s) - (SELECT count(*) FROM fit) AS skipped""",
     "batches_job": f"""WITH {TRAINING},
-        bt AS (SELECT *, row_number() OVER (ORDER BY generation, game_name, name) - 1 AS rn FROM mt)
+        st AS (SELECT *, substr(regexp_replace(name, '(_shiny)?(_female)?(_frame2)?(_flip)?\\.txt$', ''), 1, 16) AS stem FROM mt),
+        bt AS (SELECT *, {NAME_CODES} AS codes, row_number() OVER (ORDER BY generation, game_name, name) - 1 AS rn FROM st)
         SELECT rn // 16 AS batch, count(*) AS n, string_agg(identity_idx, ' ' ORDER BY rn) AS identity_idx,
           string_agg(color_shift, ' ' ORDER BY rn) AS color_shift, string_agg(type1_idx, ' ' ORDER BY rn) AS type1,
-          string_agg(generation_idx, ' ' ORDER BY rn) AS generation, md5(string_agg(ids, ' ' ORDER BY rn)) AS ids
+          string_agg(generation_idx, ' ' ORDER BY rn) AS generation, md5(string_agg(ids, ' ' ORDER BY rn)) AS ids,
+          md5(string_agg(ids, ' ' ORDER BY rn)) AS labels, CAST(count(*) * 4096 AS INT) AS n_tokens,
+          CAST(count(*) * 4096 AS INT) AS n_row_ids, CAST(count(*) * 4096 AS INT) AS n_col_ids,
+          {", ".join(f"string_agg({column}, ' ' ORDER BY rn) AS {field}" for field, column in BATCH_CODES.items())},
+          string_agg(codes, ' ' ORDER BY rn) AS name_chars
         FROM bt GROUP BY rn // 16""",
 }

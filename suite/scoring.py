@@ -275,7 +275,7 @@ ORACLES = {
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(round(probability * 1000000000000) AS BIGINT) AS before FROM p)
         SELECT doc_id, CAST(rank AS INT) AS rank, token, round(probability, 9) AS probability FROM c WHERE before < 900000000000""",
     "negatives": f"""WITH {X.GRID},
-        k AS (SELECT sid, CAST((row_number() OVER (ORDER BY sid) - 1) % 3 AS INT) AS strategy FROM s),
+        k AS (SELECT sid, CAST({_hash("'strategy'", 'sid')} % 3 AS INT) AS strategy FROM s),
         o AS (SELECT sid, y, CAST(row_number() OVER (PARTITION BY sid ORDER BY {_hash("'row'", 'sid', 'y')}, y) - 1 AS INT) AS ny
               FROM (SELECT DISTINCT sid, y FROM c)),
         a AS (SELECT c.sid, strategy, CASE WHEN strategy = 0 THEN ny ELSE c.y END AS y, x, r, g, b FROM c JOIN k ON k.sid = c.sid
