@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gridprep.session import build_session  # noqa: E402
 from suite import registry  # noqa: E402
+from suite.fixtures import SPREAD  # noqa: E402
 
 HEADLINE = [
     "grids_job", "surviving_tokens", "pad_center", "augment_fanout", "augment_preview_job",
@@ -41,6 +42,7 @@ def main():
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.ui.enabled": "false",
+            SPREAD: cpus,
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -160,7 +160,10 @@ def col_pattern():
 
 
 def position_ids(pattern, start, count, length):
-    """`count` ids from position `start` on, filled up to `length` with the padding id."""
+    """`count` ids from position `start` on, filled up to `length` (a number or a column) with the padding id.
+
+    A full sequence has CONTEXT_LENGTH positions; what stands beyond is no place in a grid and has the padding id too.
+    """
     inside = F.greatest(F.least(count, F.lit(CONTEXT_LENGTH) - start), F.lit(0))
     return F.concat(
         F.slice(pattern, start + 1, inside),

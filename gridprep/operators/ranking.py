@@ -8,8 +8,7 @@ from gridprep.functions.text import let
 from gridprep.session import ensure_checkpoint_dir, shuffle_partitions
 
 OVERSAMPLE = 8
-# more split points than this make plans slow to build; `parts` may ask for more
-MAX_PARTS = 1024
+ROWS_PER_PART = 4_000_000
 
 
 def _split_points(df, order, n):
@@ -49,13 +48,14 @@ def global_rank(keys, order, out="rank", parts=None):
     `keys` is a table of little more than the order columns, which together have to be unique;
     it is read several times, so it is checkpointed first. Rows go to parts by comparing them with
     split points over the whole key, so no value can make one part hot; each part is
-    sorted by itself and starts at the sum of the sizes before it. The table of
-    starts has at most `parts` rows.
+    sorted by itself and starts at the sum of the sizes before it. There are as many parts as the session
+    has shuffle partitions, or more, so that none has many more than ROWS_PER_PART rows.
     """
     spark = keys.sparkSession
     ensure_checkpoint_dir(spark)
     keys = keys.checkpoint()
-    points = _split_points(keys, order, parts or min(shuffle_partitions(spark), MAX_PARTS))
+    parts = parts or max(shuffle_partitions(spark), ceil(keys.count() / ROWS_PER_PART))
+    points = _split_points(keys, order, parts)
     located = keys.withColumn("_part", _part_of(F.struct(*order), points))
     sizes = located.groupBy("_part").count()
     starts = sizes.select(

@@ -15,6 +15,7 @@ from gridprep.operators.validate import filter_border, filter_dominant, fit_grid
 from gridprep.operators.vocab import build_vocab, decode_ids, encode_ids, marker_ids, token_weights
 from gridprep.session import ensure_checkpoint_dir
 from gridprep.sources.images import extract_archives, name_members
+from gridprep.sources.png import decode_png
 from gridprep.sources.tables import upsert
 
 
@@ -24,6 +25,12 @@ def archives_to_images(spark, pattern, path, prefix):
     upsert(name_members(members, prefix), path)
 
 
+def stored_images(stored, generations=None):
+    """The images that `archives_to_images` has stored, decoded, as `images_to_grids` reads them."""
+    kept = stored if generations is None else select_generations(stored, generations)
+    return decode_png(kept)
+
+
 def images_to_grids(images, generations=DEFAULT_GENERATIONS):
     """Palette grids of the images that have a blank border and are not nearly one token."""
     grids = encode_images(select_generations(images, generations))

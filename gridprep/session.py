@@ -1,6 +1,7 @@
 """Session defaults and the checkpoint folder."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,7 @@ def build_session(app_name="gridprep", master=None, **conf):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -24,13 +26,14 @@ def build_session(app_name="gridprep", master=None, **conf):
 
 
 def ensure_checkpoint_dir(spark):
-    """Use the shared folder the cluster names; fall back to a scratch one in local mode only."""
+    """Use the shared folder the cluster names. Only a session whose driver is its one executor may do without:
+    it then gets a scratch folder, which it cleans with the session."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="gridprep-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(shared)

@@ -1,12 +1,33 @@
-"""Listing of file trees."""
+"""Listing of file trees: root/generation/game/file."""
+
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
-def tree_pattern(root, generation=None, game_name=None, suffix=".txt"):
-    """Glob of a tree or a part of it, so that only that part is listed."""
-    return f"{root}/{generation or '*'}/{game_name or '*'}/*{suffix}"
+def tree_reader(spark, root, generation=None, game_name=None, suffix=".txt"):
+    """(reader, path) of a tree or a part of it: the folder is listed by Spark, and only the wanted part.
+
+    No file, a file that stands higher or one that stands deeper is an error.
+    """
+    folder = str(root) if not generation and not game_name else f"{root}/{generation or '*'}/{game_name or '*'}"
+
+    def reader():
+        return spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true")
+
+    try:
+        paths = reader().format("binaryFile").load(folder).select("path")
+    except AnalysisException as error:
+        raise ValueError(f"no files at {folder}") from error
+    name = re.escape(re.sub("^[a-z0-9]+:/*", "/", str(root)).rstrip("/"))
+    fits = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).rlike(f"{name}/[^/]+/[^/]+/[^/]+$")
+    found = paths.agg(F.count("*").alias("n"), F.min(F.when(~fits, F.col("path"))).alias("odd")).head()
+    if not found["n"]:
+        raise ValueError(f"no files at {folder}")
+    if found["odd"] is not None:
+        raise ValueError(f"{found['odd']} is not in a folder of a generation and a game")
+    return reader(), folder
 
 
 def list_files(spark, pattern):
@@ -17,12 +38,6 @@ def list_files(spark, pattern):
         raise ValueError(f"no files at {pattern}") from error
 
 
-def require_files(spark, pattern):
-    if list_files(spark, pattern).isEmpty():
-        raise ValueError(f"no files at {pattern}")
-    return pattern
-
-
 def path_keys(path):
     """generation, game_name and name from the last three parts of a path."""
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridprep.functions.names import normalise_member_path
-from gridprep.sources.files import list_files, path_keys, require_files, tree_pattern
+from gridprep.sources.files import list_files, path_keys, tree_reader
 from gridprep.sources.tables import KEY, last_per_key
 
 MEMBERS_PER_BATCH = 256
+MOST_ARCHIVE_BYTES = (1 << 31) - 64
 ARCHIVE_PATTERN = r"generation-(\d+)"
 
 
@@ -27,18 +28,19 @@ def decode_images(files):
 
 def scan_images(spark, root, generation=None, game_name=None, drop_invalid=False):
     """Decoded PNG files of a tree; data is rows of B, G, R and maybe A."""
-    pattern = require_files(spark, tree_pattern(root, generation, game_name, ".png"))
-    files = spark.read.format("image").option("dropInvalid", str(drop_invalid).lower()).load(pattern)
-    return decode_images(files)
+    reader, folder = tree_reader(spark, root, generation, game_name, ".png")
+    return decode_images(reader.format("image").option("dropInvalid", str(drop_invalid).lower()).load(folder))
 
 
 def extract_archives(spark, pattern):
     """(archive, position, generation, member, content) of the PNG members of tar.gz archives.
 
     An archive can only be read front to back, so each is one task; its members leave
-    the task in batches.
+    the task in batches. It is read from one cell, so one of 2 GB or more is an error.
     """
-    list_files(spark, pattern)
+    large = list_files(spark, pattern).where(F.col("length") >= MOST_ARCHIVE_BYTES).agg(F.min("path")).head()[0]
+    if large is not None:
+        raise ValueError(f"{large} is larger than {MOST_ARCHIVE_BYTES} bytes")
     number = F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), ARCHIVE_PATTERN, 1)
     archives = (
         spark.read.format("binaryFile").load(pattern)

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Window, functions as F
 
 from gridprep.operators.joins import bounded_rows
+from gridprep.session import ensure_checkpoint_dir
 
 KEY = ["generation", "game_name", "name"]
 PARTITION = KEY[:2]
@@ -44,7 +45,9 @@ def upsert(df, path, order=None):
     be unique.
     """
     spark = df.sparkSession
-    rows = df if order is None else last_per_key(df, KEY, order)
+    ensure_checkpoint_dir(spark)
+    # read for its folders, for its keys and to be written; made once
+    rows = (df if order is None else last_per_key(df, KEY, order)).checkpoint()
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as error:

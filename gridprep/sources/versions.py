@@ -10,7 +10,7 @@ VERSION_PREFIX = "box-"
 def save_version(train, vocab, root, partition="latest"):
     name = f"{VERSION_PREFIX}{partition}"
     train.write.mode("overwrite").parquet(f"{root}/{name}/train")
-    vocab.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/vocab")
+    vocab.write.mode("overwrite").parquet(f"{root}/{name}/vocab")
     return name
 
 

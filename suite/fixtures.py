@@ -10,16 +10,14 @@ from gridprep.operators.images import encode_images
 from gridprep.operators.sequences import to_sequence
 from gridprep.operators.vocab import build_vocab
 
-SMALL_SPLITS = 8
+# a setting of test and bench sessions: spread tables over so many tasks, as their one row group would be one
+SPREAD = "gridprep.suite.spread"
 
 
 def load(spark, sf, name):
-    """A test table. A small one is a single row group and would be one task, so it is spread over
-    the cores; a table of real size has a task per split as it is."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if df.rdd.getNumPartitions() <= SMALL_SPLITS:
-        return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
-    return df
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks), df.columns[0]) if tasks else df
 
 
 # (key column) -> name, generation and game of an image

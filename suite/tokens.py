@@ -49,12 +49,12 @@ def decode_ids_query(spark, sf):
 
 
 def position_ids(spark, sf):
-    n = F.least(F.size(words(T.sequence_text(F.col("data")))), F.lit(4096))
-    placed = X.grids(spark, sf).select("sid", n.alias("n"))
+    placed = X.grids(spark, sf).select("sid", F.size(words(T.sequence_text(F.col("data")))).alias("n"))
+    length = F.greatest("n", F.lit(4096))
     return placed.select(
         "sid",
-        F.array_join(T.position_ids(T.row_pattern(), F.lit(0), F.col("n"), 4096).cast("array<string>"), " ").alias("row_ids"),
-        F.array_join(T.position_ids(T.col_pattern(), F.lit(0), F.col("n"), 4096).cast("array<string>"), " ").alias("col_ids"),
+        F.array_join(T.position_ids(T.row_pattern(), F.lit(0), F.col("n"), length).cast("array<string>"), " ").alias("row_ids"),
+        F.array_join(T.position_ids(T.col_pattern(), F.lit(0), F.col("n"), length).cast("array<string>"), " ").alias("col_ids"),
     )
 
 
@@ -175,9 +175,9 @@ ORACLES = {
         SELECT doc_id, string_agg(coalesce(token, '[UNK]'), ' ' ORDER BY pos) AS text
         FROM dt LEFT JOIN vocab ON tok = token GROUP BY doc_id""",
     "position_ids": f"""WITH s AS ({X.SPRITE_SIZES}),
-        n AS (SELECT sid, p, least(h * least(w, 64), 4096) AS n FROM s CROSS JOIN range(4096) AS r(p))
-        SELECT sid, string_agg(CASE WHEN p < n THEN p // 64 ELSE 64 END, ' ' ORDER BY p) AS row_ids,
-          string_agg(CASE WHEN p < n AND p % 64 > 0 THEN p % 64 - 1 ELSE 64 END, ' ' ORDER BY p) AS col_ids
+        n AS (SELECT sid, p, h * least(w, 64) AS n FROM s JOIN range(76 * 64) AS r(p) ON p < greatest(h * least(w, 64), 4096))
+        SELECT sid, string_agg(CASE WHEN p < least(n, 4096) THEN p // 64 ELSE 64 END, ' ' ORDER BY p) AS row_ids,
+          string_agg(CASE WHEN p < least(n, 4096) AND p % 64 > 0 THEN p % 64 - 1 ELSE 64 END, ' ' ORDER BY p) AS col_ids
         FROM n GROUP BY sid""",
     "row_forward_fill": f"""WITH {X.DOC_TOKENS},
         r AS (SELECT doc_id, pos, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos

@@ -198,16 +198,17 @@ def test_negatives(spark):
     size = 16
     pixel = [(y, x, y * 10, x * 10, 7) for y in range(size) for x in range(size)]
     data = bytes(v for y, x, r, g, b in pixel for v in (b, g, r))
-    df = spark.createDataFrame([(k, size, size, 3, data) for k in "abc"], "k STRING, height INT, width INT, n_channels INT, data BINARY")
+    df = spark.createDataFrame([(k, size, size, 3, data) for k in "abcdefghijkl"], "k STRING, height INT, width INT, n_channels INT, data BINARY")
     rows = make_negatives(df, ["k"], 1).collect()
-    assert len(rows) == 2 * 3 * size * size
+    assert len(rows) == 2 * 12 * size * size
     assert all((r["r"], r["g"], r["b"]) == (r["y"] * 10, r["x"] * 10, 7) for r in rows if r["label"] == 1)
-    made = {k: {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in rows if r["label"] == 0 and r["k"] == k} for k in "abc"}
-    lines = [tuple(made["a"][y, x] for x in range(size)) for y in range(size)]
+    made = {k: {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in rows if r["k"] == key and r["label"] == 0}
+            for k, key in {r["strategy"]: r["k"] for r in rows if r["label"] == 0}.items()}
+    lines = [tuple(made[0][y, x] for x in range(size)) for y in range(size)]
     plain = [tuple((y * 10, x * 10, 7) for x in range(size)) for y in range(size)]
     assert sorted(lines) == sorted(plain) and lines != plain
-    same = {k: sum(made[k][y, x] == (y * 10, x * 10, 7) for y in range(size) for x in range(size)) for k in "bc"}
-    assert same["b"] < 5 and 0.3 < same["c"] / size**2 < 0.7
+    same = {k: sum(made[k][y, x] == (y * 10, x * 10, 7) for y in range(size) for x in range(size)) for k in (1, 2)}
+    assert same[1] < 5 and 0.3 < same[2] / size**2 < 0.7
 
 
 @pytest.mark.parametrize("small", [True, False])
