@@ -11,7 +11,7 @@ from gridprep.operators.sequences import to_sequence
 from gridprep.operators.vocab import build_vocab
 
 # a setting of test and bench sessions: spread tables over so many tasks, as their one row group would be one
-SPREAD = "gridprep.suite.spread"
+SPREAD = "spark.gridprep.suite.spread"
 
 
 def load(spark, sf, name):

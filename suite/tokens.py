@@ -127,13 +127,41 @@ def word_pieces(spark, sf):
 
 
 def bpe_merges(spark, sf):
-    model = bpe_train(X.documents(spark, sf), max_merges=20)
+    model = bpe_train(X.documents(spark, sf), max_merges=MERGES)
     return spark.createDataFrame(
         [(i, model.tokens[a], model.tokens[b], model.tokens[m]) for i, (a, b, m) in enumerate(model.merges)],
         "position INT, left_token STRING, right_token STRING, merged STRING",
     )
 
 
+MERGES = 20
+
+
+def _bpe_sql(merges):
+    """The merges as a chain of steps: count pairs, take the top one, replace it in every word.
+
+    A word is its ids with blanks around each, so that a replacement goes from left to right and never overlaps. Merged
+    tokens have ids above all characters, in the order of their making.
+    """
+    steps = [r"""c AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(word, '.')) AS c FROM w),
+        n0 AS MATERIALIZED (SELECT c AS token, CASE WHEN c = '~' THEN 5 ELSE 5 + row_number() OVER (PARTITION BY c = '~' ORDER BY c) END AS id FROM c),
+        l AS (SELECT word, n, unnest(regexp_extract_all(word, '.')) AS c, generate_subscripts(regexp_extract_all(word, '.'), 1) AS i FROM w),
+        s0 AS MATERIALIZED (SELECT any_value(l.n) AS n, concat(' ', string_agg(id, '  ' ORDER BY i), ' ') AS s FROM l JOIN n0 ON l.c = n0.token GROUP BY word)"""]
+    for k in range(merges):
+        steps.append(f"""x{k} AS (SELECT n, string_split(trim(s), '  ') AS x FROM s{k}),
+        p{k} AS (SELECT n, x, unnest(range(1, len(x))) AS i FROM x{k}),
+        t{k} AS MATERIALIZED (SELECT CAST(x[i] AS INT) AS a, CAST(x[i + 1] AS INT) AS b FROM p{k} GROUP BY ALL ORDER BY sum(n) DESC, a, b LIMIT 1),
+        n{k + 1} AS MATERIALIZED (SELECT * FROM n{k} UNION ALL SELECT concat(l.token, r.token), {2_000_000 + k} FROM t{k} JOIN n{k} l ON l.id = a JOIN n{k} r ON r.id = b),
+        s{k + 1} AS MATERIALIZED (SELECT n, replace(s, concat(' ', a, '  ', b, ' '), ' {2_000_000 + k} ') AS s FROM s{k}, t{k})""")
+    learned = " UNION ALL ".join(
+        f"SELECT CAST({k} AS INT) AS position, l.token AS left_token, r.token AS right_token, concat(l.token, r.token) AS merged "
+        f"FROM t{k} JOIN n{k} l ON l.id = a JOIN n{k} r ON r.id = b" for k in range(merges)
+    )
+    words_cte = r"""WITH v AS (SELECT unnest(string_split_regex(text, '\s+')) AS word FROM documents),
+        w AS MATERIALIZED (SELECT word, count(*) AS n FROM v WHERE word <> '' GROUP BY word)"""
+    return f"{words_cte}, {', '.join(steps)} {learned}"
+
+
 QUERIES = {
     "sequence_text": sequence_text,
     "vocabulary": vocabulary,
@@ -231,6 +259,7 @@ ORACLES = {
         u AS (SELECT regexp_extract_all(word, '.') AS c, count(*) AS n FROM w WHERE word <> '' GROUP BY word),
         p AS (SELECT n, c, unnest(range(1, len(c))) AS i FROM u)
         SELECT c[i] AS a, c[i + 1] AS b, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
+    "bpe_merges": _bpe_sql(MERGES),
     "word_pieces": f"""WITH {WINDOWS},
         ch AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\s]')) AS c FROM documents),
         ids AS (SELECT c, 5 + row_number() OVER (ORDER BY c) AS id FROM ch WHERE c <> '~'
