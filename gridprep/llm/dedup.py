@@ -259,7 +259,7 @@ def near_duplicates(docs, size=5, percent=80):
 
     links, roots = None, None
     for seed in range(STARS):
-        apart = _apart(groups, roots, seed)
+        apart = written(_apart(groups, roots, seed), "apart")
         # once known, members with the most common shingles: they are the least changed
         order = F.struct(*(["common"] if seed else []), F.xxhash64(F.lit(seed), "band", "node"))
         center = apart.where("root = largest").groupBy("band").agg(F.max_by("node", order).alias("center"))
@@ -270,12 +270,13 @@ def near_duplicates(docs, size=5, percent=80):
         if seed == 0:
             open_groups = written(_apart(groups, roots, seed).select("band", "node", "root"), "open")
             pairs, groups = _rare(open_groups, nodes, sets, percent)
+            # the next round's components take these links in
             links = links.unionByName(written(_confirmed(pairs, nodes, sets, percent), "links"))
-            roots = components(links)
             groups = written(groups, "groups")
     rest = _possible(_apart(groups, roots, STARS), nodes, sets, percent)
     more = written(_confirmed(rest, nodes, sets, percent), "links")
-    roots = components(links.unionByName(more))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     of_digest = nodes.join(roots, "node", "left").select(*digest, F.coalesce("root", "node").alias("_root"))
     linked = real.select("doc_id", *digest).join(of_digest, digest, "left")
