@@ -178,6 +178,15 @@ def _write(folder, dictionary, archive_bytes):
     return run
 
 
+def _sample(pages):
+    """The beginnings of at most DICTIONARY_SAMPLE pages: the hashes choose them before any text is fetched."""
+    hashed = pages.select(F.xxhash64("page_id", "url").alias("h"), F.substring(text_of("html"), 1, SAMPLE_CHARACTERS).alias("html"))
+    smallest = [row.h for row in hashed.select("h").orderBy("h").limit(DICTIONARY_SAMPLE).collect()]
+    if not smallest:
+        return []
+    return [row.html for row in hashed.where(F.col("h") <= smallest[-1]).limit(DICTIONARY_SAMPLE).collect()]
+
+
 def write_archives(pages, folder, archive_bytes=ARCHIVE_BYTES):
     """Write a record for each row of `pages` (page_id, url, html); returns the table (archive, records).
 
@@ -201,9 +210,7 @@ def write_archives(pages, folder, archive_bytes=ARCHIVE_BYTES):
         firsts = F.broadcast(firsts)
     refers = F.when((F.octet_length("payload") >= LEAST_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     marked = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    sample = pages.select(F.substring(text_of("html"), 1, SAMPLE_CHARACTERS).alias("html"), F.xxhash64("page_id").alias("h"))
-    sample = sample.orderBy("h").limit(DICTIONARY_SAMPLE).collect()
-    dictionary = train_dictionary([row.html.encode() for row in sample])
+    dictionary = train_dictionary([html.encode() for html in _sample(pages)])
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     return written(marked.mapInArrow(_write(folder, dictionary, archive_bytes), "archive string, records bigint"), "archives")
