@@ -16,6 +16,7 @@ from gridprep.llm.logistic import Rows, fit, sigmoid
 from gridprep.llm.tables import written
 
 SAMPLE = 20_000
+BUCKETS = 1 << 20
 FEATURES = 4096
 LEAST_DOCUMENTS = 5
 COUNTERFACTUAL = 10.0
@@ -109,7 +110,10 @@ def bounded_sample(labels, label, most):
     """At most `most` labelled ids: those with the smallest hashes."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))  # labelled twice: 1 wins
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # sorted are little more rows than are wanted: those of the first buckets of the hash
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    share = min(1.0, 1.5 * most / max(1, rows.count()))
+    return rows.where(bucket < int(BUCKETS * share) + 1).orderBy(bucket, F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def _swaps(keys, feature, lines):
