@@ -12,7 +12,7 @@ from gridprep.functions.pixels import over_white
 from gridprep.functions.text import hash_int
 from gridprep.functions.tokens import token_length
 from gridprep.operators.images import explode_pixels
-from gridprep.operators.joins import bounded_rows, join_unique, spread_join
+from gridprep.operators.joins import is_small, join_unique, spread_join
 
 HASH_BUCKET_BITS = 16
 HASH_BITS = 60
@@ -140,37 +140,40 @@ def _state_class(row, used, width):
     )
 
 
-def token_masks(vocab, width=ROW_LENGTH - 1):
-    """Ids allowed in each of the width + 65 classes of states."""
+def with_token_class(states, row="row", used="used", width=ROW_LENGTH - 1, out="token_class"):
+    """The class of each state; all states of a class allow the same tokens, those of `class_tokens`."""
+    return states.withColumn(out, _state_class(F.col(row), F.col(used), width))
+
+
+def class_tokens(vocab, width=ROW_LENGTH - 1):
+    """(token_class, id): the ids allowed in each of the width + 65 classes of states, one row each."""
     sized = vocab.select("token", "id", token_length(F.col("token")).alias("_n"))
     room = sized.where(F.col("_n").between(1, width)).select(
         F.explode(F.sequence(F.col("_n"), F.lit(width))).alias("_room"), "id"
-    ).select(F.concat(F.lit("room "), "_room").alias("_class"), "id")
+    ).select(F.concat(F.lit("room "), "_room").alias("token_class"), "id")
     following = vocab.where(F.col("token").isin(ROW_TOKENS[1:])).select(
-        F.concat(F.lit("next "), F.substring("token", 6, 2).cast("int")).alias("_class"), "id"
+        F.concat(F.lit("next "), F.substring("token", 6, 2).cast("int")).alias("token_class"), "id"
     )
-    end = vocab.where(F.col("token") == EOS).select(F.lit("end").alias("_class"), "id")
-    anything = vocab.select(F.lit("any").alias("_class"), "id")
-    listed = room.unionByName(following).unionByName(end).unionByName(anything)
-    return listed.groupBy("_class").agg(F.sort_array(F.collect_set("id")).alias("allowed"))
+    end = vocab.where(F.col("token") == EOS).select(F.lit("end").alias("token_class"), "id")
+    anything = vocab.select(F.lit("any").alias("token_class"), "id")
+    return room.unionByName(following).unionByName(end).unionByName(anything).distinct()
 
 
 def allowed_tokens(states, vocab, row="row", used="used", width=ROW_LENGTH - 1):
-    """Ids a constrained decoder may emit in each state.
+    """Ids a constrained decoder may emit in each state, as a list beside it.
 
     A row with room takes tokens up to the room left, a full one only the next marker, or the
     end after the last row; before the first marker everything goes. States of a class share
-    one list, so this is an equality join with a table of width + 65 rows. It is broadcast
-    if the vocabulary, which bounds the lists, is small.
+    one list, so this is an equality join with a table of width + 65 rows, for a vocabulary of at most
+    MAX_BROADCAST_ROWS tokens. With a larger one join `with_token_class` and `class_tokens` instead.
     """
-    classed = states.withColumn("_class", _state_class(F.col(row), F.col(used), width))
-    masks = token_masks(vocab, width)
-    if bounded_rows(vocab) is not None:
-        masks = F.broadcast(masks)
+    if not is_small(vocab):
+        raise ValueError("lists of so many tokens do not belong beside every state; use class_tokens")
+    masks = class_tokens(vocab, width).groupBy("token_class").agg(F.sort_array(F.collect_list("id")).alias("allowed"))
     return (
-        classed.join(masks, "_class", "left")
+        with_token_class(states, row, used, width).join(F.broadcast(masks), "token_class", "left")
         .withColumn("allowed", F.coalesce("allowed", F.array().cast("array<int>")))
-        .drop("_class")
+        .drop("token_class")
     )
 
 

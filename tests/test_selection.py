@@ -14,8 +14,8 @@ from gridprep.operators.metadata import chain_stage
 from gridprep.operators.ranking import global_rank
 from gridprep.operators.scoring import binary_eval, filter_candidates, token_share, weighted_nll
 from gridprep.operators.selection import (
-    allowed_tokens, best_of_n, blend_vectors, make_negatives, resolve_conditioning, sample_fields, sample_picks,
-    split_rows, sum_vectors,
+    allowed_tokens, best_of_n, blend_vectors, class_tokens, make_negatives, resolve_conditioning, sample_fields, sample_picks,
+    split_rows, sum_vectors, with_token_class,
 )
 from gridprep.sources.tables import last_per_key
 
@@ -165,11 +165,13 @@ def test_allowed_tokens(spark, monkeypatch):
             return {f"[ROW_{row + 1:02d}]"} if row < 63 else {"[EOS]"}
         return {t for t in tokens if not (t[0] == "[" and t[-1] == "]") and len(t) <= width - used}
 
-    for small in (True, False):
-        if not small:
-            monkeypatch.setattr("gridprep.operators.selection.bounded_rows", lambda *_: None)
-        for r in allowed_tokens(df, vocab, width=4).collect():
-            assert {tokens[i] for i in r["allowed"]} == expected(r["row"], r["used"])
+    for r in allowed_tokens(df, vocab, width=4).collect():
+        assert {tokens[i] for i in r["allowed"]} == expected(r["row"], r["used"])
+    by_class = with_token_class(df, width=4).join(class_tokens(vocab, 4), "token_class").collect()
+    assert {(r["row"], r["used"], tokens[r["id"]]) for r in by_class} == {(*s, t) for s in states for t in expected(*s)}
+    monkeypatch.setattr("gridprep.operators.selection.is_small", lambda *_: False)
+    with pytest.raises(ValueError):
+        allowed_tokens(df, vocab)
 
 
 def test_losses(spark):
