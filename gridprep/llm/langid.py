@@ -3,9 +3,10 @@
 Training counts hashed byte trigrams per language over all training texts. A document is then a
 mixture: each of its words was written in one language, with the probability that the language's
 trigrams give it. Expectation-maximisation estimates the share of each language; this is done for
-the single best language and for the sets of its two to `MOST` largest shares, and the set with the
-largest likelihood less a penalty (half the logarithm of the number of words for each language,
-as in the BIC) is taken.
+the single best language and for the sets of its two, three, ... largest shares, up to all languages, and the
+set with the largest likelihood less a penalty (half the logarithm of the number of words for each language,
+as in the BIC) is taken. Sets are tried for a document as long as a bound on the likelihood of all mixtures
+leaves room for a larger one to win.
 """
 
 import numpy as np
@@ -17,7 +18,7 @@ from gridprep.llm.tables import fold_of
 
 BUCKETS = 1 << 16
 ROUNDS = 8
-MOST = 3
+SLACK = 1e-3  # of log likelihood a word, for rounding
 SMOOTHING = 0.5
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -122,6 +123,15 @@ def _mixture(like, rows, counts, allowed):
     return share, _row_sums(np.log(np.maximum(total, np.float32(1e-30))), rows, counts)
 
 
+def _ceiling(like, rows, counts, share, fit):
+    """What the log likelihood of each row's words cannot exceed, whatever the shares.
+
+    Against the given shares it gains at most the logarithm of the mean ratio for every word (Jensen), and
+    the mean ratio of a mixture is at most that of one of its languages."""
+    ratio = _row_sums(like / (like * np.repeat(share, counts, axis=1)).sum(axis=0), rows, counts).max(axis=0)
+    return np.minimum(fit + counts * np.log(np.maximum(ratio / np.maximum(counts, 1), 1)), 0) + SLACK * counts
+
+
 def infer(log_p, data, offsets):
     """(index of the main language, its share, number of languages of the chosen set) of every row."""
     grams, first, last, rows = _words(data, offsets)
@@ -134,15 +144,25 @@ def infer(log_p, data, offsets):
     like = np.maximum(np.exp(score - score.max(axis=0)), np.float32(1e-12))
     share, whole = _mixture(like, rows, counts, np.ones((k, n), np.float32))
     rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0, kind="stable")
-    best, shares, size = None, None, np.ones(n, np.int64)
-    for languages in range(1, min(MOST, k) + 1):
-        some, fit = (share, whole) if languages == k else _mixture(like, rows, counts, (rank < languages).astype(np.float32))
-        value = fit - languages * 0.5 * np.log(np.maximum(counts, 1))
-        if best is None:
-            best, shares = value, some
+    most, penalty = _ceiling(like, rows, counts, share, whole), 0.5 * np.log(np.maximum(counts, 1))
+    best, shares, size = np.full(n, -np.inf), share.copy(), np.ones(n, np.int64)
+    left = np.arange(n)  # rows for which a larger set can still win
+    for languages in range(1, k + 1):
+        if languages == k:
+            some, fit = share[:, left], whole[left]
         else:
-            better = value > best
-            best, size, shares = np.where(better, value, best), np.where(better, languages, size), np.where(better, some, shares)
+            some, fit = _mixture(like, rows, counts, (rank[:, left] < languages).astype(np.float32))
+        value = fit - languages * penalty[left]
+        better = value > best[left]
+        taken = left[better]
+        best[taken], size[taken], shares[:, taken] = value[better], languages, some[:, better]
+        stays = best[left] < most[left] - (languages + 1) * penalty[left]
+        if not stays.any():
+            break
+        if languages + 1 < k and not stays.all():
+            like, counts = like[:, np.repeat(stays, counts)], counts[stays]
+            rows = np.concatenate([[0], np.cumsum(counts)])
+        left = left[stays]
     main = shares.argmax(axis=0)
     return main, shares[main, np.arange(n)].astype(np.float64), size
 

@@ -40,6 +40,39 @@ def test_a_mixed_text_has_both_languages(spark, docs):
     assert row.lang_pred == "de" and row.n_languages >= 2 and 0.45 < row.score < 0.8
 
 
+def test_a_text_of_four_languages_has_all_four(spark, docs):
+    model = langid.train_fold(docs)
+    texts = {lang: docs.where((F.col("lang") == lang) & (F.length("text") > 2000)).orderBy("doc_id").head().text.replace("|", " ").split() for lang in model[0]}
+    rows = []
+    for main in model[0]:
+        others = [x for x in model[0] if x != main]
+        words = texts[main][:120] + [w for lang, n in zip(others, (66, 60, 54)) for w in texts[lang][:n]]
+        rows.append((main, " ".join(words)))
+    found = langid.identify(spark.createDataFrame(rows, "main string, text string"), model).collect()
+    assert {r.doc.main: (r.lang_pred, r.n_languages) for r in found} == {main: (main, 4) for main in model[0]}
+    assert all(0.35 < r.score < 0.45 for r in found)
+
+
+def test_sets_that_are_left_out_cannot_win():
+    """The chosen set is the best of all nested ones, found here without the bound."""
+    random = np.random.default_rng(3)
+    languages = 7
+    log_p = np.log(random.dirichlet(np.full(langid.BUCKETS, 0.05) + 1e-3, languages) + 1e-9).astype(np.float32)
+    texts = ["".join(random.choice(list("abcdefgh "), 40 * n)).encode() for n in (1, 3, 10, 30)] + [b"", b"abc"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    _, _, size = langid.infer(log_p, data, offsets)
+    grams, first, last, rows = langid._words(data, offsets)
+    counts = np.diff(rows)
+    score = np.stack([np.add.reduceat(r[grams], np.stack([first, last], axis=1).ravel())[::2] for r in log_p])
+    like = np.maximum(np.exp(score - score.max(axis=0)), np.float32(1e-12))
+    share, _ = langid._mixture(like, rows, counts, np.ones((languages, len(texts)), np.float32))
+    rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0, kind="stable")
+    fits = [langid._mixture(like, rows, counts, (rank < n).astype(np.float32))[1] for n in range(1, languages + 1)]
+    values = np.stack([fit - (n + 1) * 0.5 * np.log(np.maximum(counts, 1)) for n, fit in enumerate(fits)])
+    full = counts > 0
+    assert (size[full] == values.argmax(axis=0)[full] + 1).all() and size.max() > 3
+
+
 def test_no_labels_at_all(spark, docs, edges):
     model = langid.train(docs.where("false").select("lang", "text"))
     assert {r.lang_pred for r in langid.identify(edges, model).collect()} == {"und"}
