@@ -1,8 +1,9 @@
 """The corpus pipeline: documents in, packed sequences out.
 
-Every stage takes the rows its predecessor kept. Rows are dropped by id, from a table of the ids that go: one
-of up to `MOST_SENT_IDS` ids is sent to the tasks, so that the texts do not move; a larger one is joined by
-shuffle. A null doc_id names no document, so its row is never dropped by id.
+Every stage takes the rows its predecessor kept. The rows of a stage that drops some are numbered and written, and
+dropped by number, so that each row is judged by its own text, whether its doc_id is null, repeated or neither.
+A table of up to `MOST_SENT_IDS` numbers is sent to the tasks, so that the texts do not move; a larger one
+is joined by shuffle.
 """
 
 from pyspark.sql import functions as F
@@ -15,12 +16,18 @@ from gridprep.llm.tables import load, shared_folder, written
 from gridprep.operators.joins import broadcast_if_small
 
 MOST_SENT_IDS = 1_000_000
+ROW = "_row"
 LEAST_SHARE = 0.4  # of a document's words in its main language
 
 
-def _without(docs, ids):
-    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(broadcast_if_small(ids, MOST_SENT_IDS), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs):
+    """The rows with a number each, as files: the numbers stay the same whenever they are read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(rows, numbers):
+    numbers = written(numbers.select(ROW).distinct(), "dropped")
+    return rows.join(broadcast_if_small(numbers, MOST_SENT_IDS), ROW, "left_anti").drop(ROW)
 
 
 def known_language(spark, docs, sf_dir):
@@ -35,20 +42,27 @@ def known_language(spark, docs, sf_dir):
 
 
 def deduplicate(spark, docs, sf_dir):
-    """Keep one document of each group of near duplicates: the one with the smallest doc_id.
-
-    Of rows that repeat a doc_id with the same text one stays."""
-    found = written(near_duplicates(docs.select("doc_id", "text"), size=5, percent=80), "found")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        same = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-        docs = _without(docs, repeated).unionByName(same)
-    return _without(docs, found.where("NOT kept"))
+    """Keep one row of each group of near duplicates: the one with the smallest doc_id, with a null one if all are null.
+
+    Of rows without a word that repeat a doc_id with the same text one stays; with a null doc_id all stay."""
+    rows = _numbered(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), size=5, percent=80)
+    found = written(found.withColumnRenamed("doc_id", ROW), "found")
+    groups = written(found.where("NOT kept").select("component_id").distinct(), "groups")
+    members = found.join(broadcast_if_small(groups, MOST_SENT_IDS), "component_id", "left_semi").select(ROW, "component_id")
+    members = written(members.join(rows.select(ROW, "doc_id"), ROW), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))[ROW].alias(ROW)
+    dropped = members.select(ROW).join(members.groupBy("component_id").agg(first).select(ROW), ROW, "left_anti")
+    wordless = found.where("n_shingles = 0").select(ROW).join(rows.where("doc_id IS NOT NULL").select(ROW, "doc_id", "text"), ROW)
+    wordless = written(wordless, "wordless")
+    same = wordless.groupBy("doc_id", "text").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return _without(rows, dropped.unionByName(wordless.select(ROW).join(same, ROW, "left_anti")))
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Drop documents that hold a benchmark item."""
-    return _without(docs, contaminated(docs.select("doc_id", "text"), load(spark, sf_dir, "benchmark")))
+    """Drop rows that hold a benchmark item."""
+    rows = _numbered(docs)
+    return _without(rows, contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), load(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", ROW))
 
 
 def redact(spark, docs, sf_dir):

@@ -77,3 +77,19 @@ def test_an_empty_table(spark, inputs):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, inputs):
+    """Repeated ids with different texts, and null ids."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").orderBy("item_id").head().text
+    first, second, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(3, first), (7, first), (7, second), (None, first), (None, third), (None, third), (8, item), (8, third + " end"), (None, item), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], inputs["language-id"].schema)
+
+    def texts(found):
+        return sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+
+    kept = written(pipeline.deduplicate(spark, docs, SF))
+    assert texts(kept) == sorted([(3, first), (7, second), (8, item), (8, third + " end"), (9, "")], key=str)
+    clean = pipeline.decontaminate(spark, docs, SF)
+    assert texts(clean) == sorted([r for r in rows if r[1] != item], key=str)
