@@ -116,6 +116,13 @@ def bounded_sample(labels, label, most):
     return rows.where(bucket < int(BUCKETS * share) + 1).orderBy(bucket, F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def sample_texts(docs, chosen):
+    """One row (label, text) for each chosen id that has any: of rows that repeat it, the text with the smallest hash."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(one).select("label", "text")
+
+
 def _swaps(keys, feature, lines):
     """Differences between the sample's texts and their copies with another identity term."""
     place = {int(k): i for i, k in enumerate(keys)}
@@ -140,8 +147,7 @@ def train(docs, labels, sample=SAMPLE, features=FEATURES):
     text 0.
     """
     chosen = bounded_sample(labels, "toxic", sample)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(rows.join(F.broadcast(chosen), "doc_id").select("label", "text"), "sample")
+    rows = written(sample_texts(docs, chosen), "sample")
     lines = identity_lines()
     always = {t for line in lines for term in line for t in term}
     counts = rows.mapInArrow(_word_counts, "word bigint, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))

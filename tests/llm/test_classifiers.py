@@ -108,6 +108,17 @@ def test_swapped_identity_terms_score_alike(spark):
     assert abs(score[1] - score[2]) < 0.05 and score[3] > 0.5
 
 
+@pytest.mark.parametrize("operator, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_a_repeated_id_is_learned_from_once(spark, operator, label):
+    """A labelled id that holds most of the rows does not change the model."""
+    rows = [(i, f"{'idiot scum ' * (i % 3) if i % 2 else 'a pleasant day. '} text {i % 7}", i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {label} int")
+    often = docs.unionByName(spark.createDataFrame([rows[1]] * 500, docs.schema))
+    texts = docs.select("doc_id", "text")
+    once, more = ({r.doc_id: r.score for r in operator.score(texts, operator.train(d, docs.select("doc_id", label))).collect()} for d in (docs, often))
+    assert more == pytest.approx(once, abs=1e-6)
+
+
 def test_logistic_regression_finds_the_signs():
     random = np.random.default_rng(1)
     x = random.standard_normal((500, 2))
