@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridprep.llm import langid, pii, quality, toxicity, urlfilter
+from gridprep.llm import langid, pii, quality, repair, simhash, toxicity, urlfilter, variants
 from gridprep.llm.ann import nearest
 from gridprep.llm.decontam import contaminated
 from gridprep.llm.dedup import near_duplicates
@@ -129,6 +129,18 @@ SELECT p.page_id, p.host, p.fetched_at, coalesce(f.verdict, 'none') AS verdict,
 FROM parsed p LEFT JOIN found f ON p.capture = f.capture AND f.place = 1
 """
 
+def op11_variants(spark, sf_dir):
+    return variants.group_variants(variants.word_counts(load(spark, sf_dir, "documents"), misspell=199))
+
+
+def op12_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair_report(repair.damage(load(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -140,6 +152,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_variants": op11_variants,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
     "op10_url_filter": OP10_SQL,

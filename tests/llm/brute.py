@@ -41,6 +41,23 @@ def shingle_set(text, size):
     return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
+def reachable(ids, near):
+    """{id: smallest id that links lead to}, over all pairs."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if near(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
 def duplicates(texts, size, percent=80):
     """{id: (set size, smallest id reachable)} of {id: text}."""
     sets = {i: shingle_set(t, size) for i, t in texts.items()}
