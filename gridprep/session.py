@@ -3,6 +3,7 @@
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,5 +40,18 @@ def ensure_checkpoint_dir(spark):
     context.setCheckpointDir(shared)
 
 
+def shared_folder(spark, purpose):
+    """A fresh folder name under the checkpoint folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df, purpose="table"):
+    """The table as files in the shared folder: later steps read them, and a lost executor takes nothing with it."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark):
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -119,8 +119,7 @@ def bpe_pairs(spark, sf):
 
 
 def word_pieces(spark, sf):
-    """Without merges the pieces are the characters."""
-    model = bpe_train(X.documents(spark, sf), max_merges=0)
+    model = bpe_train(X.documents(spark, sf), max_merges=MERGES)
     return bpe_encode(windows(spark, sf), model).select(
         "doc_id", "chunk", X.as_text("input_ids").alias("ids"), F.size("attention_mask").alias("n")
     )
@@ -153,13 +152,39 @@ def _bpe_sql(merges):
         t{k} AS MATERIALIZED (SELECT CAST(x[i] AS INT) AS a, CAST(x[i + 1] AS INT) AS b FROM p{k} GROUP BY ALL ORDER BY sum(n) DESC, a, b LIMIT 1),
         n{k + 1} AS MATERIALIZED (SELECT * FROM n{k} UNION ALL SELECT concat(l.token, r.token), {2_000_000 + k} FROM t{k} JOIN n{k} l ON l.id = a JOIN n{k} r ON r.id = b),
         s{k + 1} AS MATERIALIZED (SELECT n, replace(s, concat(' ', a, '  ', b, ' '), ' {2_000_000 + k} ') AS s FROM s{k}, t{k})""")
+    words_cte = r"""v AS (SELECT unnest(string_split_regex(text, '\s+')) AS word FROM documents),
+        w AS MATERIALIZED (SELECT word, count(*) AS n FROM v WHERE word <> '' GROUP BY word)"""
+    return f"{words_cte}, {', '.join(steps)}"
+
+
+def _bpe_merges_sql(merges):
     learned = " UNION ALL ".join(
         f"SELECT CAST({k} AS INT) AS position, l.token AS left_token, r.token AS right_token, concat(l.token, r.token) AS merged "
         f"FROM t{k} JOIN n{k} l ON l.id = a JOIN n{k} r ON r.id = b" for k in range(merges)
     )
-    words_cte = r"""WITH v AS (SELECT unnest(string_split_regex(text, '\s+')) AS word FROM documents),
-        w AS MATERIALIZED (SELECT word, count(*) AS n FROM v WHERE word <> '' GROUP BY word)"""
-    return f"{words_cte}, {', '.join(steps)} {learned}"
+    return f"WITH {_bpe_sql(merges)} {learned}"
+
+
+def _word_pieces_sql(merges):
+    """Words cut at '00' and '~', the merges in their order on every piece, then the words of each window put together."""
+    done = "' ' || array_to_string(ids, '  ') || ' '"
+    for k in range(merges):
+        done = f"replace({done}, concat(' ', t{k}.a, '  ', t{k}.b, ' '), ' {2_000_000 + k} ')"
+    cut = "replace(replace(word, '00', concat(chr(1), chr(2), chr(1))), '~', concat(chr(1), '~', chr(1)))"
+    return f"""WITH {WINDOWS}, {_bpe_sql(merges)},
+        f AS (SELECT 6 + count(*) AS free FROM n0 WHERE token <> '~'),
+        cw AS (SELECT word, list_filter(string_split({cut}, chr(1)), lambda p: p <> '') AS pieces FROM w),
+        cp AS (SELECT word, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM cw),
+        pl AS (SELECT piece, unnest(regexp_extract_all(piece, '.')) AS c, generate_subscripts(regexp_extract_all(piece, '.'), 1) AS i
+               FROM (SELECT DISTINCT piece FROM cp) WHERE piece NOT IN (chr(2), '~')),
+        pi AS (SELECT piece, list(id ORDER BY i) AS ids FROM pl JOIN n0 ON c = token GROUP BY piece),
+        pm AS (SELECT piece, string_split(trim({done}), '  ') AS ids FROM pi, {", ".join(f"t{k}" for k in range(merges))}),
+        pd AS (SELECT piece, list_transform(ids, lambda x: CASE WHEN CAST(x AS INT) >= 2000000 THEN CAST(x AS INT) - 2000000 + free ELSE CAST(x AS INT) END) AS ids FROM pm, f
+               UNION ALL SELECT chr(2), [4] UNION ALL SELECT '~', [5]),
+        wd AS (SELECT word, flatten(list(ids ORDER BY i)) AS ids FROM cp JOIN pd USING (piece) GROUP BY word),
+        sw AS (SELECT doc_id, s, unnest(list_slice(w, s + 1, s + {CONTEXT})) AS word, unnest(range({CONTEXT})) AS o FROM st),
+        sd AS (SELECT doc_id, s, flatten(list(ids ORDER BY o)) AS ids FROM sw JOIN wd USING (word) GROUP BY doc_id, s)
+        SELECT doc_id, s // {STEP} + 1 AS chunk, array_to_string(ids, ' ') AS ids, CAST(len(ids) AS INT) AS n FROM sd"""
 
 
 QUERIES = {
@@ -259,13 +284,6 @@ ORACLES = {
         u AS (SELECT regexp_extract_all(word, '.') AS c, count(*) AS n FROM w WHERE word <> '' GROUP BY word),
         p AS (SELECT n, c, unnest(range(1, len(c))) AS i FROM u)
         SELECT c[i] AS a, c[i + 1] AS b, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
-    "bpe_merges": _bpe_sql(MERGES),
-    "word_pieces": f"""WITH {WINDOWS},
-        ch AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\s]')) AS c FROM documents),
-        ids AS (SELECT c, 5 + row_number() OVER (ORDER BY c) AS id FROM ch WHERE c <> '~'
-                UNION ALL SELECT '~', 5 UNION ALL SELECT chr(1), 4),
-        p AS (SELECT doc_id, s, regexp_extract_all(replace(array_to_string(list_slice(w, s + 1, s + {CONTEXT}), ' '), '00', chr(1)), '[^ ]') AS c FROM st),
-        u AS (SELECT doc_id, s, unnest(c) AS c, generate_subscripts(c, 1) AS pos FROM p)
-        SELECT doc_id, s // {STEP} + 1 AS chunk, string_agg(id, ' ' ORDER BY pos) AS ids, CAST(count(*) AS INT) AS n
-        FROM u JOIN ids ON u.c = ids.c GROUP BY doc_id, s""",
+    "bpe_merges": _bpe_merges_sql(MERGES),
+    "word_pieces": _word_pieces_sql(MERGES),
 }
