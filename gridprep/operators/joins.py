@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 from gridprep.constants import MAX_BROADCAST_ROWS
 
-SALTS = 8
-
 
 def bounded_rows(df, limit=MAX_BROADCAST_ROWS):
     """The rows if there are at most `limit`, else None. No more than limit + 1 are fetched."""
@@ -22,22 +20,19 @@ def broadcast_if_small(df, limit=MAX_BROADCAST_ROWS):
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-def join_unique(df, table, on, how="inner", spread=None, limit=MAX_BROADCAST_ROWS):
+ROWS_PER_TASK = 1_000_000
+
+
+def join_unique(df, table, on, how="inner", spread=None, limit=MAX_BROADCAST_ROWS, rows_per_task=ROWS_PER_TASK):
     """Join a table with one row per key.
 
-    A small table is sent to all tasks and `df` does not move. With a larger one the rows of a
-    key are spread over several tasks, each with its own copy of the key's row, by a hash of
-    the `spread` columns, which should tell rows of a key apart.
+    A small table is sent to all tasks and `df` does not move. A larger one is joined by shuffle, and the
+    rows of frequent keys are spread as `spread_join` does, by a hash of the `spread` columns, which should tell rows
+    of a key apart.
     """
     if is_small(table, limit):
         return df.join(F.broadcast(table), on, how)
-    spread = spread or [c for c in df.columns if c not in on] or on
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-ROWS_PER_TASK = 1_000_000
+    return _spread(df, table, list(on), how, spread, rows_per_task)
 
 
 def spread_join(df, table, key, how="inner", spread=None, rows_per_task=ROWS_PER_TASK):
@@ -46,18 +41,29 @@ def spread_join(df, table, key, how="inner", spread=None, rows_per_task=ROWS_PER
     Keys with more than `rows_per_task` rows are cut into that many parts by a hash of the `spread` columns, and only their rows of
     `table` are copied, once for each part. All other keys join as they are. `table` may hold several rows per key.
     """
-    spread = spread or [c for c in df.columns if c != key] or [key]
-    parts = F.ceil(F.col("count") / rows_per_task).cast("int").alias("_parts")
-    hot = df.groupBy(key).count().where(F.col("count") > rows_per_task).select(F.col(key).alias("_hot"), parts)
-    hot = bounded_rows(hot)
-    if hot is None:  # more hot keys than fit a task: Spark splits skewed partitions by itself
-        return df.join(table, key, how)
-    if not hot:
-        return df.join(table, key, how)
-    spark = df.sparkSession
-    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], f"_hot {df.schema[key].dataType.simpleString()}, _parts int"))
+    return _spread(df, table, [key], how, spread, rows_per_task)
+
+
+def _spread(df, table, on, how, spread, rows_per_task):
+    hot = _hot_keys(df, on, rows_per_task)
+    if hot is None:
+        return df.join(table, on, how)
+    spread = spread or [c for c in df.columns if c not in on] or on
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))
-    left = df.join(hot, df[key] == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    left = df.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    right = table.join(hot, table[key] == F.col("_hot"), "left").withColumn("_salt", copies).drop("_hot", "_parts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    right = table.join(hot, on, "left").withColumn("_salt", copies).drop("_parts")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def _hot_keys(df, on, rows_per_task, most=MAX_BROADCAST_ROWS):
+    """The keys with more than `rows_per_task` rows and how many parts each needs, marked for broadcast; None without any.
+
+    If more than `most` keys are that frequent, those with more than their rows / `most` are taken: there are fewer than
+    `most` of them, and every other key fits a task as well as they do."""
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
+    n, rows = counts.agg(F.count("*"), F.sum("_n")).head()
+    if n == 0:
+        return None
+    each = max(rows_per_task, -(-rows // most)) if n > most else rows_per_task
+    return F.broadcast(counts.where(F.col("_n") > each).select(*on, F.ceil(F.col("_n") / each).cast("int").alias("_parts")))
