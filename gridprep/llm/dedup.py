@@ -13,7 +13,8 @@ No group's pairs are listed. Equal sets are one node. In each band group the mem
 chosen at random from the group's largest component, each band choosing anew, for `STARS`
 rounds. After the first, members of groups that are still apart are compared with all that share a rare
 shingle with them, and leave the groups if their common shingles are too few for any other link; what is left
-apart at the end is compared with all members of other components.
+apart at the end is compared with all members of other components. Of a member's links to centers one is
+kept, and its centers are linked with each other, so that there is about one link for each member.
 """
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gridprep.llm import words as W
 from gridprep.llm.components import components
 from gridprep.llm.tables import written
-from gridprep.operators.joins import broadcast_if_small
+from gridprep.operators.joins import broadcast_if_small, join_unique
 
 HASHES, BITS = 128, 4
 BANDS, ROWS = 48, 6
@@ -174,8 +175,7 @@ def _rare(groups, nodes, sets, percent):
     counts = held.groupBy("node").agg(F.count("*").alias("rare"))
     common = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("rare", F.lit(0))).otherwise(F.col("n"))
     known = groups.select("band", "node").join(sizes, "node").join(counts, "node", "left").select("band", "node", "n", F.col("_least"), common.alias("common"))
-    least = known.groupBy("band").agg(F.min("_least").alias("least"))
-    kept = known.join(least, "band").withColumn("link", ~_too_few(F.col("common"), F.col("n"), F.greatest("common", "least"), percent))
+    kept = _with_band(known, known.groupBy("band").agg(F.min("_least").alias("least"))).withColumn("link", ~_too_few(F.col("common"), F.col("n"), F.greatest("common", "least"), percent))
     hopeful = kept.groupBy("node").agg(F.bool_or("link").alias("link")).where("link").select("node")
     return pairs, known.select("band", "node", "n", "common").join(hopeful, "node", "left_semi")
 
@@ -194,7 +194,20 @@ def _apart(groups, roots, seed):
     parts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
     order = F.struct("n", F.xxhash64(F.lit(seed), "band", "root"), "root")
     largest = parts.groupBy("band").agg(F.max_by("root", order).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    return labelled.join(largest.drop("parts"), "band")
+    return _with_band(labelled, largest.drop("parts"))
+
+
+def _with_band(members, bands):
+    """Members with their band's row of a table; the members of a hot band are not brought together."""
+    return join_unique(members, written(bands, "bands"), ["band"], spread=["node"], limit=MOST_SENT_IDS)
+
+
+def _contracted(links):
+    """Links (a: member, b: center) with the same components: each member's first center, and that center's with the member's others."""
+    stars = links.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("centers"))  # at most one center for each band
+    first = F.get("centers", F.lit(0))
+    between = stars.select(first.alias("a"), F.explode(F.slice("centers", 2, BANDS)).alias("b")).distinct()
+    return stars.select("a", first.alias("b")).unionByName(between)
 
 
 def _possible(apart, nodes, sets, percent):
@@ -206,7 +219,7 @@ def _possible(apart, nodes, sets, percent):
     """
     apart = written(apart, "apart")
     center = apart.groupBy("band").agg(F.max_by(F.struct("node", (F.col("n") - F.col("common")).alias("rare")), F.struct("common", "node")).alias("c"))
-    centered = written(apart.join(center, "band").select("*", F.col("c.node").alias("center"), F.col("c.rare").alias("_rare")).drop("c"), "centered")
+    centered = written(_with_band(apart, center).select("*", F.col("c.node").alias("center"), F.col("c.rare").alias("_rare")).drop("c"), "centered")
     shared = _intersections(centered.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sets)
     shared = shared.groupBy("a", "b").agg(F.max("both").alias("inner"), F.min("both").alias("_least")).withColumnsRenamed({"a": "center", "b": "node"})
     placed = written(
@@ -252,7 +265,7 @@ def near_duplicates(docs, size=5, percent=80):
     )
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("_first"), F.max("node").alias("_last")).where("_first < _last")
-    groups = written(rows.join(shared.select("band"), "band"), "groups")
+    groups = written(_with_band(rows, shared.select("band")), "groups")
 
     ids = broadcast_if_small(written(groups.select(F.col("node").alias("doc_id")).distinct(), "ids"), MOST_SENT_IDS)
     sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "node bigint, shingles array<bigint>"), "sets")
@@ -261,10 +274,10 @@ def near_duplicates(docs, size=5, percent=80):
     for seed in range(STARS):
         apart = written(_apart(groups, roots, seed), "apart")
         # once known, members with the most common shingles: they are the least changed
-        order = F.struct(*(["common"] if seed else []), F.xxhash64(F.lit(seed), "band", "node"))
-        center = apart.where("root = largest").groupBy("band").agg(F.max_by("node", order).alias("center"))
-        star = apart.where("root <> largest").join(center, "band").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-        more = written(_confirmed(star.distinct(), nodes, sets, percent), "links")
+        rank = F.struct(*(["common"] if seed else []), F.xxhash64(F.lit(seed), "band", "node"), "node")
+        center = apart.where("root = largest").groupBy("band").agg(F.max_by("node", rank).alias("center"))
+        star = _with_band(apart.where("root <> largest"), center).select(F.col("node").alias("a"), F.col("center").alias("b"))
+        more = written(_contracted(_confirmed(star.distinct(), nodes, sets, percent)), "links")
         links = more if links is None else links.unionByName(more)
         roots = components(links)
         if seed == 0:

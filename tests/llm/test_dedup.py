@@ -61,3 +61,26 @@ def test_a_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     found = {r.node: r.root for r in components(links).collect()}
     assert found == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+def test_large_groups_of_near_copies_and_a_long_text(spark, monkeypatch):
+    """Near copies of one text give few links, however many there are."""
+    chance = random.Random(6)
+    base = [f"w{chance.randrange(900)}" for _ in range(200)]
+    texts = {}
+    for i in range(1200):
+        words = list(base)
+        for _ in range(chance.randrange(1, 5)):
+            words[chance.randrange(200)] = f"x{chance.randrange(900)}"
+        texts[i * 2] = " ".join(words)
+    long = [f"v{chance.randrange(5000)}" for _ in range(60_000)]
+    texts[5001] = " ".join(long)
+    texts[5002] = " ".join(long[:-3000])
+    given = []
+    monkeypatch.setattr(dedup, "components", lambda links: given.append(links.distinct().count()) or components(links))
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    found = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, 2).collect()}
+    expected = brute.duplicates({i: t for i, t in texts.items() if i < 200 or i > 5000}, 2)
+    assert all(found[i] == root for i, (_, root) in expected.items())
+    assert {found[i] for i in texts if i < 5000} == {0} and found[5002] == 5001
+    assert max(given) <= 3 * len(texts)
