@@ -1,5 +1,7 @@
 """Batches and inventories."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from gridprep.session import ensure_checkpoint_dir
@@ -33,7 +35,8 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     null if its deciding column is null in any row or missing from the table. Labels are the ids, with
     IGNORED_LABEL where the attention mask is 0, so that padding counts in no loss.
 
-    The rows are cut into ranges of the order once and numbered where they lie.
+    The rows are cut into ranges of the order once, sorted, numbered and put into batches where they lie. Only the rows of a
+    batch that spans two ranges, at most batch_size - 1 of each range at either end, are moved again.
     """
     ensure_checkpoint_dir(df.sparkSession)
     if {"labels", "input_ids", "attention_mask"} <= set(df.columns):
@@ -43,31 +46,63 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     known = set(df.columns)
     used = [(out, column, guard) for out, column, guard in fields
             if column in known and (guard is None or guard in known)]
+    inputs = sorted({column for _, column, _ in used} | {guard for _, _, guard in used if guard})
     place = F.monotonically_increasing_id()
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
-        {"_part": F.spark_partition_id(), "_inside": place.bitwiseAND(F.lit((1 << 33) - 1))}
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        *inputs, F.spark_partition_id().alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_inside")
     ).checkpoint()
     sizes = sorted_rows.groupBy("_part").count()
-    starts = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start"))
-    # one row per part
-    ranked = sorted_rows.join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_inside"))
-    inputs = sorted({c for _, column, _ in used for c in (column,)})
-    guards = sorted({guard for _, _, guard in used if guard})
-    batches = ranked.groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(
-        F.sort_array(F.collect_list(F.struct("_rank", *inputs))).alias("_rows"),
-        F.count("*").alias("n"),
-        *[F.bool_and(F.col(g).isNotNull()).alias(f"_has_{g}") for g in guards],
+    by_part = Window.orderBy("_part")  # one row per part
+    bounds = sizes.select(
+        "_part", (F.sum("count").over(by_part) - F.col("count")).alias("_start"), F.sum("count").over(by_part).alias("_end"),
+        F.lead("_part").over(by_part).isNull().alias("_last"),
     )
+    ranked = sorted_rows.join(F.broadcast(bounds), "_part").withColumn("_rank", F.col("_start") + F.col("_inside"))
+    first = F.floor(F.col("_rank") / batch_size) * batch_size
+    spans = (first < F.col("_start")) | (~F.col("_last") & (first + batch_size > F.col("_end")))
+    schema = ", ".join(["batch bigint", "n bigint", *(f"`{out}` array<{df.schema[column].dataType.simpleString()}>" for out, column, _ in used)])
+    whole = ranked.where(~spans).select("_rank", *inputs).mapInArrow(_batches(batch_size, used), schema)
 
     def gathered(column):
         return F.transform("_rows", lambda row: row[column])
 
-    columns = [
-        (gathered(column) if guard is None else F.when(F.col(f"_has_{guard}"), gathered(column))).alias(out)
-        for out, column, guard in used
-    ]
-    absent = [F.lit(None).alias(out) for out, _, _ in fields if out not in {u[0] for u in used}]
-    return batches.select("batch", "n", *columns, *absent)
+    cut = ranked.where(spans).groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(
+        F.sort_array(F.collect_list(F.struct("_rank", *inputs))).alias("_rows"), F.count("*").alias("n"),
+        *[F.bool_and(F.col(g).isNotNull()).alias(f"_has_{g}") for g in {guard for _, _, guard in used if guard}],
+    ).select("batch", "n", *[
+        (gathered(column) if guard is None else F.when(F.col(f"_has_{guard}"), gathered(column))).alias(out) for out, column, guard in used
+    ])
+    names = {out for out, _, _ in used}
+    ordered = [F.col(out) for out, _, _ in used] + [F.lit(None).alias(out) for out, _, _ in fields if out not in names]
+    return whole.unionByName(cut).select("batch", "n", *ordered)
+
+
+def _batches(batch_size, used):
+    """Batches of rows that lie one behind the other: lists over the columns as they are."""
+    def lists(rows):
+        sizes = [batch_size] * (len(rows) // batch_size) + [len(rows) % batch_size] * (len(rows) % batch_size > 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        columns = [pa.array(rows.column("_rank").to_numpy()[offsets[:-1]] // batch_size), pa.array(sizes, pa.int64())]
+        for _, column, guard in used:
+            absent = None
+            if guard is not None:
+                gaps = np.concatenate([[0], np.cumsum(rows.column(guard).is_null().to_numpy(zero_copy_only=False))])
+                absent = pa.array(np.diff(gaps[offsets]) > 0)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), rows.column(column), mask=absent))
+        return pa.RecordBatch.from_arrays(columns, names=["batch", "n", *(out for out, _, _ in used)])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            full = len(rows) - len(rows) % batch_size
+            if full:
+                yield lists(rows.slice(0, full))
+            rest = rows.slice(full)
+        if rest is not None and len(rest):
+            yield lists(rest)  # the last batch of all
+
+    return run
 
 
 def inventory(df):

@@ -34,7 +34,7 @@ def training_table_job(spark, sf):
         F.md5("original_text").alias("original_text"), F.md5(X.as_text("input_ids")).alias("input_ids"),
         (F.col("labels") == F.col("input_ids")).alias("same_labels"),
         F.size(F.array_remove("attention_mask", 0)).alias("n_tokens"),
-        *[F.array_join(F.array_distinct(c).cast("array<string>"), " ").alias(c) for c in ("row_ids", "col_ids")],
+        *[F.md5(X.as_text(c)).alias(c) for c in ("row_ids", "col_ids")],
         *METADATA_CODES, X.as_text("name_chars").alias("name_chars"),
     )
 
@@ -72,7 +72,7 @@ def batches_job(spark, sf):
         F.md5(F.array_join(F.flatten("input_ids").cast("array<string>"), " ")).alias("ids"),
         F.md5(F.array_join(F.flatten("labels").cast("array<string>"), " ")).alias("labels"),
         F.size(F.array_remove(F.flatten("attention_mask"), 0)).alias("n_tokens"),
-        F.size(F.flatten("row_ids")).alias("n_row_ids"), F.size(F.flatten("col_ids")).alias("n_col_ids"),
+        *[F.md5(F.array_join(F.flatten(c).cast("array<string>"), " ")).alias(c) for c in ("row_ids", "col_ids")],
         *[X.as_text(c).alias(c) for c in BATCH_CODES],
         F.array_join(F.flatten("name_chars").cast("array<string>"), " ").alias("name_chars"),
     )
@@ -108,8 +108,8 @@ ix AS (SELECT *, dense_rank() OVER (ORDER BY {IDENTITY}) - 1 AS identity_idx FRO
 {SPECIES_ROWS},
 mt AS (SELECT ix.*, {metadata_codes('md')} FROM ix LEFT JOIN md ON CAST(md.id AS VARCHAR) = {SPECIES})
 """
-PATTERN_ROWS = "(SELECT string_agg(p, ' ' ORDER BY p) FROM range(64) AS r(p))"
-PATTERN_COLS = "(SELECT '64 ' || string_agg(p, ' ' ORDER BY p) FROM range(63) AS r(p))"
+PATTERN_ROWS = "(SELECT string_agg(p // 64, ' ' ORDER BY p) FROM range(4096) AS r(p))"
+PATTERN_COLS = "(SELECT string_agg(CASE WHEN p % 64 = 0 THEN 64 ELSE p % 64 - 1 END, ' ' ORDER BY p) FROM range(4096) AS r(p))"
 NAME_CODES = """array_to_string([CASE WHEN i <= length(stem) THEN ascii(stem[i]) ELSE 0 END for i in range(1, 17)], ' ')"""
 
 ORACLES = {
@@ -120,7 +120,7 @@ ORACLES = {
         st AS (SELECT *, substr(regexp_replace(name, '(_shiny)?(_female)?(_frame2)?(_flip)?\\.txt$', ''), 1, 16) AS stem FROM mt)
         SELECT name, generation, game_name, CAST(1 AS BIGINT) AS chunk, CAST(color_shift AS INT) AS color_shift, identity_idx,
           substr(text, 1, 512) AS input_text, md5(text) AS original_text, md5(ids) AS input_ids, true AS same_labels,
-          CAST(4096 AS INT) AS n_tokens, {PATTERN_ROWS} AS row_ids, {PATTERN_COLS} AS col_ids, {', '.join(METADATA_CODES)},
+          CAST(4096 AS INT) AS n_tokens, md5({PATTERN_ROWS}) AS row_ids, md5({PATTERN_COLS}) AS col_ids, {', '.join(METADATA_CODES)},
           {NAME_CODES} AS name_chars FROM st""",
     "training_vocab": f"WITH {TRAINING} SELECT token, id FROM vocab",
     "augment_preview_job": f"""WITH {X.VARIANTS},
@@ -139,7 +139,7 @@ ORACLES = {
           string_agg(color_shift, ' ' ORDER BY rn) AS color_shift, string_agg(type1_idx, ' ' ORDER BY rn) AS type1,
           string_agg(generation_idx, ' ' ORDER BY rn) AS generation, md5(string_agg(ids, ' ' ORDER BY rn)) AS ids,
           md5(string_agg(ids, ' ' ORDER BY rn)) AS labels, CAST(count(*) * 4096 AS INT) AS n_tokens,
-          CAST(count(*) * 4096 AS INT) AS n_row_ids, CAST(count(*) * 4096 AS INT) AS n_col_ids,
+          md5(trim(repeat({PATTERN_ROWS} || ' ', count(*)))) AS row_ids, md5(trim(repeat({PATTERN_COLS} || ' ', count(*)))) AS col_ids,
           {", ".join(f"string_agg({column}, ' ' ORDER BY rn) AS {field}" for field, column in BATCH_CODES.items())},
           string_agg(codes, ' ' ORDER BY rn) AS name_chars
         FROM bt GROUP BY rn // 16""",

@@ -6,9 +6,10 @@ from gridprep.functions.names import normalise_member_path
 from gridprep.operators.keys import keyed_last
 from gridprep.operators.metadata import shape_species
 from gridprep.sources.checkpoints import latest_valid
-from gridprep.sources.logs import scrape_log
-from gridprep.sources.tables import generations_in_text, last_per_key, read_one, restrict
-from gridprep.sources.versions import latest_rows
+from gridprep.session import shared_folder
+from gridprep.sources.logs import scan_log, scrape_log
+from gridprep.sources.tables import generations_in_text, last_per_key, read_one, restrict, upsert
+from gridprep.sources.versions import latest_rows, load_version, save_version
 from suite import fixtures as X
 
 # member paths of all kinds: good ones, a back view, a wrong prefix, no number, too short
@@ -36,6 +37,19 @@ SELECT doc_id, concat('step 1', chr(10), '=== Inference @ step ', CAST(doc_id AS
   chr(10), '=== Inference @ step 7 ===', chr(10), 'no end') AS log FROM documents
 """
 
+# the same blocks for files that hold many documents; every third document has the line breaks of another system
+LOG_LINES = """
+SELECT CASE WHEN doc_id % 3 = 0 THEN replace(log, chr(10), concat(chr(13), chr(10))) ELSE log END AS value FROM (
+  SELECT doc_id, concat('=== Inference @ step ', CAST(doc_id AS STRING), ' ===', chr(10), text, chr(10),
+    '====================================', chr(10), 'loss 0.5', chr(10), '=== Inference @ step ', CAST(doc_id + 1000000 AS STRING), ' ===', chr(10),
+    '[ROW_00] ~ ;', chr(10), '====================================') AS log FROM documents) AS l
+"""
+
+UPSERTS = """
+SELECT concat('gen', CAST(user_id % 3 AS STRING)) AS generation, event_type AS game_name, concat('n', CAST(user_id AS STRING), '.txt') AS name,
+ event_id, value FROM events
+"""
+
 SPECIES = """
 SELECT CAST(p_partkey AS INT) AS id, p_name AS name, CAST(p_size AS BIGINT) AS height, CAST(p_partkey * 13 % 5000 AS BIGINT) AS weight,
  p_partkey % 3 AS n_types, p_partkey % 2 = 0 AS swapped, CAST(p_partkey % 11 AS INT) AS gen,
@@ -122,6 +136,34 @@ def log_samples(spark, sf):
     return scrape_log(X.from_sql(spark, sf, LOGS, "documents"), "log")
 
 
+def log_files(spark, sf):
+    """Logs as files, many documents in each."""
+    folder = shared_folder(spark, "logs")
+    X.from_sql(spark, sf, LOG_LINES, "documents").repartition(5).write.text(folder)
+    return scrape_log(scan_log(spark, folder))
+
+
+def upsert_files(spark, sf):
+    """The events of even numbers written by key, then those of odd numbers over them."""
+    folder = shared_folder(spark, "upserts")
+    rows = X.from_sql(spark, sf, UPSERTS, "events")
+    for turn in (0, 1):
+        upsert(rows.where(F.col("event_id") % 2 == turn), folder, ["event_id"])
+    return spark.read.parquet(folder).select("generation", "game_name", "name", "event_id", "value")
+
+
+def version_files(spark, sf):
+    """Two saved versions, read back by name and as the greatest one."""
+    root = shared_folder(spark, "versions")
+    orders = X.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for turn, name in enumerate(("2024", "2023")):
+        part = orders.where(F.col("o_orderkey") % 2 == turn)
+        save_version(part, part.select("o_orderstatus").distinct(), root, name)
+    read = [load_version(spark, root, partition) for partition in (None, "2023")]
+    return read[0][1].join(F.broadcast(read[0][2]), "o_orderstatus").withColumn("version", F.lit(read[0][0])).unionByName(
+        read[1][1].join(F.broadcast(read[1][2]), "o_orderstatus").withColumn("version", F.lit(read[1][0])))
+
+
 def species_shape(spark, sf):
     return shape_species(species_documents(spark, sf))
 
@@ -137,6 +179,9 @@ QUERIES = {
     "latest_checkpoint": latest_checkpoint,
     "log_samples": log_samples,
     "species_shape": species_shape,
+    "log_files": log_files,
+    "upsert_files": upsert_files,
+    "version_files": version_files,
 }
 
 ORACLES = {
@@ -170,6 +215,12 @@ ORACLES = {
           'run/checkpoint-' || max(CASE WHEN length > 0 THEN step END) AS checkpoint FROM s GROUP BY grp""",
     "log_samples": """SELECT doc_id, doc_id AS step, text AS sample FROM documents
         UNION ALL SELECT doc_id, doc_id + 100, '[ROW_00] ~ ;' FROM documents""",
+    "log_files": r"""SELECT doc_id AS step, regexp_replace(text, '\r\n?', chr(10), 'g') AS sample FROM documents
+        UNION ALL SELECT doc_id + 1000000, '[ROW_00] ~ ;' FROM documents""",
+    "upsert_files": f"""WITH u AS ({UPSERTS})
+        SELECT generation, game_name, name, event_id, value FROM u
+        QUALIFY row_number() OVER (PARTITION BY generation, game_name, name ORDER BY event_id % 2 DESC, event_id DESC) = 1""",
+    "version_files": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'box-2024' ELSE 'box-2023' END AS version FROM orders""",
     "species_shape": f"""WITH s AS ({SPECIES})
         SELECT id, name, height / 10 AS height, weight / 10 AS weight,
           CASE WHEN n_types >= 1 THEN 'fire' END AS type_1, CASE WHEN n_types = 2 THEN 'flying' END AS type_2,

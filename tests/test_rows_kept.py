@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gridprep.operators import joins
 from gridprep.operators.batches import collate
 from gridprep.operators.joins import spread_join
 from gridprep.operators.keys import index_keys
@@ -108,3 +109,30 @@ def test_hot_keys_are_spread(spark):
     table = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k long, v string")
     found = spread_join(df, table, "k", "left", rows_per_task=50)
     assert sorted(map(str, found.collect())) == sorted(map(str, df.join(table, "k", "left").select(found.columns).collect()))
+
+
+def test_batches_across_ranges(spark):
+    """Every batch size, with ranges that hold less than a batch, against the sorted rows."""
+    rows = [(i * 7919 % 500, None if i % 11 == 3 else i, [i, i + 1]) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int, a array<int>")
+    ordered = sorted(rows)
+    for size in (1, 3, 16, 100, 1000):
+        found = {b["batch"]: b for b in collate(df, ["k"], size, [("v", "v", "v"), ("a", "a", None), ("w", "a", "v"), ("x", "no", None)]).collect()}
+        assert sorted(found) == list(range(-(-500 // size)))
+        for number, batch in found.items():
+            part = ordered[number * size:(number + 1) * size]
+            known = all(r[1] is not None for r in part)
+            assert batch["n"] == len(part) and batch["a"] == [r[2] for r in part] and batch["x"] is None
+            assert batch["v"] == ([r[1] for r in part] if known else None) and batch["w"] == ([r[2] for r in part] if known else None)
+
+
+def test_only_frequent_keys_are_copied(spark):
+    df = spark.createDataFrame([(1 if i % 3 == 0 else i,) for i in range(300)], "k int")
+    table = spark.createDataFrame([(i, i) for i in range(300)], "k int, v int")
+    hot = {r["k"]: r["_parts"] for r in joins._hot_keys(df, ["k"], 50).collect()}
+    assert hot == {1: 3}
+    assert joins._hot_keys(df, ["k"], 1000) is None
+    few = {r["k"] for r in joins._hot_keys(df, ["k"], 0, most=3).collect()}
+    assert few == {1}
+    found = joins.join_unique(df, table, ["k"], limit=10, rows_per_task=50)
+    assert sorted(r["v"] for r in found.collect()) == sorted(r["k"] for r in df.collect())
