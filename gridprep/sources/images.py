@@ -1,17 +1,18 @@
 """Images in trees and in archives."""
 
-import io
+import re
 import tarfile
 
-import pandas as pd
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Window, functions as F
 
 from gridprep.functions.names import normalise_member_path
 from gridprep.sources.files import list_files, path_keys, tree_reader
 from gridprep.sources.tables import KEY, last_per_key
 
 MEMBERS_PER_BATCH = 256
-MOST_ARCHIVE_BYTES = (1 << 31) - 64
+BATCH_BYTES = 16 << 20
 ARCHIVE_PATTERN = r"generation-(\d+)"
 
 
@@ -35,39 +36,46 @@ def scan_images(spark, root, generation=None, game_name=None, drop_invalid=False
 def extract_archives(spark, pattern):
     """(archive, position, generation, member, content) of the PNG members of tar.gz archives.
 
-    An archive can only be read front to back, so each is one task; its members leave
-    the task in batches. It is read from one cell, so one of 2 GB or more is an error.
+    An archive can only be read front to back, so each is one task. It is streamed from the file system that all
+    executors share, and its members leave the task in batches: no archive is held whole, whatever its size. A batch
+    closes at MEMBERS_PER_BATCH members or BATCH_BYTES bytes. A cut-off archive is an error.
     """
-    large = list_files(spark, pattern).where(F.col("length") >= MOST_ARCHIVE_BYTES).agg(F.min("path")).head()[0]
-    if large is not None:
-        raise ValueError(f"{large} is larger than {MOST_ARCHIVE_BYTES} bytes")
     number = F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), ARCHIVE_PATTERN, 1)
-    archives = (
-        spark.read.format("binaryFile").load(pattern)
-        .select("path", number.alias("generation"), "content")
-        .where("generation <> ''")
-    )
-
-    columns = ["archive", "position", "generation", "member", "content"]
+    archives = list_files(spark, pattern).select("path", number.alias("generation"), "length").where("generation <> ''")
+    # one task for each archive, the largest first
+    archives = archives.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("length"), "path")))
+    tasks = max(1, archives.count())
+    spread = archives.repartitionByRange(tasks, "turn").select("path", F.col("generation").cast("int").alias("generation"))
 
     def members(batches):
         for batch in batches:
-            for path, generation, content in zip(batch["path"], batch["generation"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
-                    rows = []
+            for path, generation in zip(batch["path"].to_pylist(), batch["generation"].to_pylist()):
+                store, place = fs.FileSystem.from_uri(_as_uri(path))
+                with store.open_input_stream(place, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|gz") as archive:
+                    rows, size = [], 0
                     for position, member in enumerate(archive):
                         if member.isfile() and member.name.endswith(".png"):
-                            png = archive.extractfile(member).read()
-                            rows.append((path, position, int(generation), member.name, png))
-                        if len(rows) == MEMBERS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
+                            content = archive.extractfile(member).read()
+                            rows.append((path, position, generation, member.name, content))
+                            size += len(content)
+                        if len(rows) == MEMBERS_PER_BATCH or size > BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, size = [], 0
                     if rows:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _batch(rows)
 
-    return archives.mapInPandas(
-        members, "archive STRING, position INT, generation INT, member STRING, content BINARY"
-    )
+    return spread.mapInArrow(members, "archive STRING, position INT, generation INT, member STRING, content BINARY")
+
+
+def _as_uri(path):
+    """Spark lists local files as file:/folder, with one slash."""
+    return re.sub("^file:/(?!/)", "file:///", path)
+
+
+def _batch(rows):
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    names = ["archive", "position", "generation", "member", "content"]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def name_members(members, prefix):

@@ -10,6 +10,7 @@ from gridprep.operators.sequences import (
 )
 from gridprep.operators.validate import fit_grid
 from gridprep.operators.vocab import build_vocab, decode_ids, encode_ids, marker_ids
+from gridprep.session import stored
 from suite import fixtures as X
 
 CONTEXT = 128
@@ -39,7 +40,7 @@ def encode_ids_query(spark, sf):
 def encode_ids_large_vocab(spark, sf):
     """The documents' own vocabulary, with a limit that makes it one to be joined."""
     docs = X.document_tokens(spark, sf)
-    result = encode_ids(docs, build_vocab(docs, "seq"), ["doc_id"], limit=1000)
+    result = encode_ids(docs, stored(build_vocab(docs, "seq"), "vocab"), ["doc_id"], limit=1000)
     return result.select("doc_id", X.as_text("input_ids").alias("ids"))
 
 

@@ -10,6 +10,7 @@ from gridprep.operators.keys import index_keys
 from gridprep.operators.metadata import chain_stage, shape_species
 from gridprep.operators.scoring import weighted_nll
 from gridprep.operators.selection import blend_vectors, make_negatives, sample_fields
+from gridprep.operators import vocab as vocabularies
 from gridprep.operators.vocab import decode_ids, encode_ids
 from gridprep.sources.logs import scan_log, scrape_log
 from gridprep.sources.metadata import read_metadata
@@ -28,6 +29,18 @@ def test_lookups_of_equal_null_and_repeated_keys(spark, limit):
     assert sorted(str(r.tokens) for r in back.collect()) == ["['a', 'c']", "['b']", "[None]"]
 
 
+def test_dictionaries_of_many_parts(spark):
+    """Parts of three elements, frequent tokens spread, and parts whose dictionary is empty."""
+    texts = spark.createDataFrame([(i, f"a  b{i % 7} zz") for i in range(200)] + [(200, "zz zz"), (201, None), (202, " ")], "k int, tokens string")
+    vocab = spark.createDataFrame([("a", 1)] + [(f"b{i}", 10 + i) for i in range(7)], "token string, id int")
+    found = vocabularies._lookup_by_join(texts.repartition(4), vocab, "tokens", "ids", 3, spread_from=20, part_elements=3)
+    want = {i: [1, 10 + i % 7, 3] for i in range(200)} | {200: [3, 3], 201: [], 202: []}
+    assert {r.k: r.ids for r in found.collect()} == want and found.count() == 203
+    none = vocabularies._lookup_by_join(texts, vocab.where("false"), "tokens", "ids", 3)
+    assert {r.k: r.ids for r in none.collect()} == {k: [3] * len(v) for k, v in want.items()}
+    assert vocabularies._lookup_by_join(texts.where("false"), vocab, "tokens", "ids", 3).count() == 0
+
+
 def log_file(folder, text):
     path = folder / "log.txt"
     path.write_bytes(text.encode())
