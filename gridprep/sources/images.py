@@ -1,11 +1,13 @@
 """Images in trees and in archives."""
 
+import gzip
 import re
 import tarfile
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from gridprep.functions.names import normalise_member_path
 from gridprep.sources.files import list_files, path_keys, tree_reader
@@ -41,17 +43,14 @@ def extract_archives(spark, pattern):
     closes at MEMBERS_PER_BATCH members or BATCH_BYTES bytes. A cut-off archive is an error.
     """
     number = F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), ARCHIVE_PATTERN, 1)
-    archives = list_files(spark, pattern).select("path", number.alias("generation"), "length").where("generation <> ''")
-    # one task for each archive, the largest first
-    archives = archives.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("length"), "path")))
-    tasks = max(1, archives.count())
-    spread = archives.repartitionByRange(tasks, "turn").select("path", F.col("generation").cast("int").alias("generation"))
+    archives = list_files(spark, pattern).select("path", number.alias("generation")).where("generation <> ''")
+    # about one task for each archive
+    spread = archives.withColumn("generation", F.col("generation").cast("int")).repartition(max(1, archives.count()), "path")
 
     def members(batches):
         for batch in batches:
             for path, generation in zip(batch["path"].to_pylist(), batch["generation"].to_pylist()):
-                store, place = fs.FileSystem.from_uri(_as_uri(path))
-                with store.open_input_stream(place, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|gz") as archive:
+                with _opened(path) as stream, gzip.open(stream) as unpacked, tarfile.open(fileobj=unpacked, mode="r|") as archive:
                     rows, size = [], 0
                     for position, member in enumerate(archive):
                         if member.isfile() and member.name.endswith(".png"):
@@ -61,15 +60,22 @@ def extract_archives(spark, pattern):
                         if len(rows) == MEMBERS_PER_BATCH or size > BATCH_BYTES:
                             yield _batch(rows)
                             rows, size = [], 0
+                    # to the end of the file: a cut-off one has no end mark, a damaged one another checksum
+                    while unpacked.read(1 << 20):
+                        pass
                     if rows:
                         yield _batch(rows)
 
     return spread.mapInArrow(members, "archive STRING, position INT, generation INT, member STRING, content BINARY")
 
 
-def _as_uri(path):
-    """Spark lists local files as file:/folder, with one slash."""
-    return re.sub("^file:/(?!/)", "file:///", path)
+def _opened(path):
+    """A stream of the file at a path as Spark lists it: not escaped, a local one as file:/folder."""
+    local = re.match("file:/+", path)
+    if local:
+        return fs.LocalFileSystem().open_input_stream("/" + path[local.end():], compression=None)
+    store, place = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return store.open_input_stream(place, compression=None)
 
 
 def _batch(rows):

@@ -4,7 +4,11 @@ from pyspark.sql import functions as F
 
 from gridprep.functions.text import words
 from gridprep.plans import jobs as J
+from gridprep.session import shared_folder
+from gridprep.sources.grids import scan_grids
+from gridprep.sources.images import scan_images
 from suite import fixtures as X
+from suite.archives import with_png, write_archives, write_tree
 from suite.keys import METADATA_CODES, SPECIES, IDENTITY, SPECIES_ROWS, metadata, metadata_codes
 
 
@@ -20,13 +24,45 @@ def surviving_tokens(spark, sf):
 
 
 def grids_job(spark, sf):
-    return J.images_to_grids(sprites(spark, sf)).select("generation", "game_name", "name", F.md5("data").alias("digest"))
+    return digests(J.images_to_grids(sprites(spark, sf)))
+
+
+def digests(grids):
+    return grids.select("generation", "game_name", "name", F.md5("data").alias("digest"))
 
 
 def training_table(spark, sf):
     return J.grids_to_training_table(X.grids(spark, sf).drop("sid"), metadata(spark, sf))
 
 
+def archives_job(spark, sf):
+    """The sprites as members of archives, among members that are no sprites; stored by key, read back and made grids."""
+    folder, store = shared_folder(spark, "archives"), shared_folder(spark, "images")
+    files = with_png(sprites(spark, sf)).repartition(3)
+    stem = F.regexp_replace(F.regexp_replace(F.translate(F.col("name"), "_", "-"), "^0+", ""), r"\.png$", "")
+    paths = F.array(*[
+        F.concat(F.lit(prefix), "game_name", F.lit(part), stem, F.lit(suffix))
+        for prefix, part, suffix in (("art/front/", "/", ".png"), ("art/front/", "/back/", ".png"), ("icons/front/", "/", ".png"), ("art/front/", "/", ".txt"))
+    ])
+    write_archives(files.select(F.substring("generation", 4, 3).alias("generation"), F.explode(paths).alias("member"), "content"), folder)
+    J.archives_to_images(spark, f"{folder}/*.tar.gz", store, "art/front")
+    return digests(J.images_to_grids(J.stored_images(spark.read.parquet(store))))
+
+
+def image_tree(spark, sf):
+    """The sprites as a tree of PNG files, scanned and made grids."""
+    root = shared_folder(spark, "tree")
+    write_tree(with_png(sprites(spark, sf)), root)
+    return digests(J.images_to_grids(scan_images(spark, root)))
+
+
+def grid_tree(spark, sf):
+    """The grids as a tree of text files, scanned."""
+    root = shared_folder(spark, "tree")
+    write_tree(X.grids(spark, sf).select("generation", "game_name", "name", F.encode("data", "UTF-8").alias("content")), root)
+    return digests(scan_grids(spark, root))
+
+
 def training_table_job(spark, sf):
     train, _ = training_table(spark, sf)
     return train.select(
@@ -81,6 +117,9 @@ def batches_job(spark, sf):
 QUERIES = {
     "surviving_tokens": surviving_tokens,
     "grids_job": grids_job,
+    "archives_job": archives_job,
+    "image_tree": image_tree,
+    "grid_tree": grid_tree,
     "training_table_job": training_table_job,
     "training_vocab": training_vocab,
     "augment_preview_job": augment_preview_job,
@@ -116,6 +155,7 @@ ORACLES = {
     "surviving_tokens": f"""WITH {VALID} SELECT generation, game_name, name, tok AS token, count(*) AS n
         FROM e JOIN ok USING (sid) JOIN nm USING (sid) GROUP BY ALL""",
     "grids_job": f"""WITH {VALID} SELECT generation, game_name, name, md5(data) AS digest FROM grids SEMI JOIN ok USING (sid)""",
+    "grid_tree": f"""WITH {X.GRID_TEXT} SELECT generation, game_name, name, md5(data) AS digest FROM grids""",
     "training_table_job": f"""WITH {TRAINING},
         st AS (SELECT *, substr(regexp_replace(name, '(_shiny)?(_female)?(_frame2)?(_flip)?\\.txt$', ''), 1, 16) AS stem FROM mt)
         SELECT name, generation, game_name, CAST(1 AS BIGINT) AS chunk, CAST(color_shift AS INT) AS color_shift, identity_idx,
@@ -144,3 +184,4 @@ ORACLES = {
           string_agg(codes, ' ' ORDER BY rn) AS name_chars
         FROM bt GROUP BY rn // 16""",
 }
+ORACLES["archives_job"] = ORACLES["image_tree"] = ORACLES["grids_job"]

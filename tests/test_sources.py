@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import tarfile
 
 import pytest
@@ -13,7 +14,7 @@ from gridprep.operators.validate import filter_exact
 from gridprep.plans.jobs import archives_to_images, images_to_grids
 from gridprep.sources.checkpoints import latest_checkpoint
 from gridprep.sources.grids import scan_grids
-from gridprep.sources.images import scan_images
+from gridprep.sources.images import extract_archives, scan_images
 from gridprep.sources.logs import scan_log, scrape_log
 from gridprep.sources.metadata import read_metadata
 from gridprep.sources.tables import list_generations, read_one, restrict, upsert
@@ -121,6 +122,18 @@ def test_archives_to_images(spark, tmp_path):
     assert stored.where("game_name = 'game-b'").count() == 600
 
 
+def test_a_cut_off_archive_is_an_error(spark, tmp_path):
+    # a name that has to be escaped in a URI, and members that do not compress
+    whole = archive([(f"art/front/game-a/{i}.png", os.urandom(5000)) for i in range(1, 9)])
+    path = tmp_path / "generation-3 a%20b.tar.gz"
+    path.write_bytes(whole)
+    assert extract_archives(spark, f"{tmp_path}/*.gz").count() == 8
+    for size in (len(whole) - 4, len(whole) // 2):
+        path.write_bytes(whole[:size])
+        with pytest.raises(Exception, match="end"):
+            extract_archives(spark, f"{tmp_path}/*.gz").collect()
+
+
 def test_read_metadata_last_duplicate_wins(spark, tmp_path):
     path = tmp_path / "species.json"
     path.write_text(json.dumps([
