@@ -1,6 +1,6 @@
 """Joins with lookup tables, by size."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from gridprep.constants import MAX_BROADCAST_ROWS
 
@@ -11,26 +11,48 @@ def bounded_rows(df, limit=MAX_BROADCAST_ROWS):
     return rows if len(rows) <= limit else None
 
 
-def is_small(df, limit=MAX_BROADCAST_ROWS):
-    return df.limit(limit + 1).count() <= limit
+MAX_BROADCAST_BYTES = 32 << 20
+
+
+def is_small(df, limit=MAX_BROADCAST_ROWS, most_bytes=MAX_BROADCAST_BYTES):
+    """Whether a table has at most `limit` rows and, as measured, at most `most_bytes` bytes."""
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).head()
+    return rows <= limit and size <= most_bytes
+
+
+def _row_bytes(schema):
+    """The bytes of a row, about: texts and arrays by their length, nested values by their length as JSON."""
+    fixed = T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType
+
+    def width(field):
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, fixed):
+            return F.size(column) * 8
+        if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+            return F.octet_length(F.to_json(F.struct(column)))
+        return F.lit(8)
+
+    return sum((F.greatest(F.coalesce(width(f), F.lit(0)), F.lit(8)).cast("long") for f in schema.fields), F.lit(0).cast("long"))
 
 
 def broadcast_if_small(df, limit=MAX_BROADCAST_ROWS):
-    """Mark a table of at most `limit` narrow rows for broadcast; leave a larger one to a shuffle."""
+    """Mark a table of at most `limit` rows and MAX_BROADCAST_BYTES bytes for broadcast; leave a larger one to a shuffle."""
     return F.broadcast(df) if is_small(df, limit) else df
 
 
 ROWS_PER_TASK = 1_000_000
 
 
-def join_unique(df, table, on, how="inner", spread=None, limit=MAX_BROADCAST_ROWS, rows_per_task=ROWS_PER_TASK):
+def join_unique(df, table, on, how="inner", spread=None, limit=MAX_BROADCAST_ROWS, rows_per_task=ROWS_PER_TASK, most_bytes=MAX_BROADCAST_BYTES):
     """Join a table with one row per key.
 
-    A small table is sent to all tasks and `df` does not move. A larger one is joined by shuffle, and the
+    A table of few rows and bytes is sent to all tasks and `df` does not move. A larger one is joined by shuffle, and the
     rows of frequent keys are spread as `spread_join` does, by a hash of the `spread` columns, which should tell rows
     of a key apart.
     """
-    if is_small(table, limit):
+    if is_small(table, limit, most_bytes):
         return df.join(F.broadcast(table), on, how)
     return _spread(df, table, list(on), how, spread, rows_per_task)
 

@@ -12,7 +12,8 @@ from gridprep.functions.pixels import over_white
 from gridprep.functions.text import hash_int
 from gridprep.functions.tokens import token_length
 from gridprep.operators.images import explode_pixels
-from gridprep.operators.joins import is_small, join_unique, spread_join
+from gridprep.operators.joins import MAX_BROADCAST_BYTES, join_unique, spread_join
+from gridprep.session import stored
 
 HASH_BUCKET_BITS = 16
 HASH_BITS = 60
@@ -90,10 +91,11 @@ def blend_vectors(picks, vectors, key, vec_id="vec_id", vector="vector"):
     )
 
 
-def sum_vectors(df, lookups, out="vector"):
+def sum_vectors(df, lookups, out="vector", most_bytes=MAX_BROADCAST_BYTES):
     """Add up one vector from each of several tables.
 
-    `lookups` lists (column, table with `id` and `vector`). The sum is null if one is not found.
+    `lookups` lists (column, table with `id` and `vector`). The sum is null if one is not found. Tables of up to
+    `most_bytes` bytes as measured go to the tasks; wider ones are joined by shuffle, frequent ids spread.
     """
     kept = df.columns
     total = None
@@ -101,7 +103,7 @@ def sum_vectors(df, lookups, out="vector"):
         renamed = table.select(
             F.col("id").alias(f"_id{i}"), F.col("vector").cast("array<double>").alias(f"_v{i}")
         )
-        df = join_unique(df.withColumn(f"_id{i}", F.col(column)), renamed, [f"_id{i}"], "left", spread=kept)
+        df = join_unique(df.withColumn(f"_id{i}", F.col(column)), renamed, [f"_id{i}"], "left", spread=kept, most_bytes=most_bytes)
         found = F.col(f"_v{i}")
         total = found if total is None else F.zip_with(total, found, lambda a, b: a + b)
     return df.select(*kept, total.alias(out))
@@ -159,21 +161,76 @@ def class_tokens(vocab, width=ROW_LENGTH - 1):
     return room.unionByName(following).unionByName(end).unionByName(anything).distinct()
 
 
+MASK_WORD = 64
+
+
+def class_masks(vocab, width=ROW_LENGTH - 1):
+    """(token_class, mask): the ids allowed in each class as bits, id i in bit i % 64 of word i // 64.
+
+    Tokens are packed by length before the lengths that fit a room are joined, so what is shuffled grows with the number of
+    words, not of tokens. A mask has an eighth of a byte for each id of the vocabulary.
+    """
+    ids = F.col("id").cast("long")
+    word, bit = (ids / MASK_WORD).cast("int").alias("_word"), F.expr(f"shiftleft(1L, CAST(id % {MASK_WORD} AS INT))").alias("_bits")
+    sized = vocab.select(token_length(F.col("token")).alias("_n"), word, bit).where(F.col("_n").between(1, width))
+    lengths = sized.groupBy("_n", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    room = lengths.select(F.explode(F.sequence(F.col("_n"), F.lit(width))).alias("_room"), "_word", "_bits").select(
+        F.concat(F.lit("room "), "_room").alias("token_class"), "_word", "_bits"
+    )
+    following = vocab.where(F.col("token").isin(ROW_TOKENS[1:])).select(
+        F.concat(F.lit("next "), F.substring("token", 6, 2).cast("int")).alias("token_class"), word, bit
+    )
+    end = vocab.where(F.col("token") == EOS).select(F.lit("end").alias("token_class"), word, bit)
+    anything = vocab.select(F.lit("any").alias("token_class"), word, bit)
+    packed = room.unionByName(following).unionByName(end).unionByName(anything)
+    packed = packed.groupBy("token_class", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    # empty words stand for themselves, so that the place in the array is the word
+    blank = packed.groupBy("token_class").agg(F.max("_word").alias("_last")).select(
+        "token_class", F.explode(F.sequence(F.lit(0), "_last")).alias("_word"), F.lit(0).cast("long").alias("_bits")
+    )
+    full = packed.unionByName(blank).groupBy("token_class", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    words = F.sort_array(F.collect_list(F.struct("_word", "_bits")))
+    return full.groupBy("token_class").agg(F.transform(words, lambda w: w["_bits"]).alias("mask"))
+
+
+def mask_allows(mask, id):
+    """Whether a mask holds an id; a null mask holds none."""
+    held = F.get(mask, (id / MASK_WORD).cast("int"))
+    return F.coalesce(F.call_function("bit_get", held, (id % MASK_WORD).cast("int")) == 1, F.lit(False))
+
+
+def mask_ids(mask):
+    """The ids of a mask, in order; none for a null mask."""
+    places = F.sequence(F.lit(0), F.lit(MASK_WORD - 1))
+    ids = F.flatten(F.transform(mask, lambda held, word: F.transform(
+        F.filter(places, lambda bit: F.call_function("bit_get", held, bit) == 1), lambda bit: bit + word * MASK_WORD
+    )))
+    return F.coalesce(ids, F.array().cast("array<int>"))
+
+
+def with_token_mask(states, vocab, row="row", used="used", width=ROW_LENGTH - 1, out="mask", most_bytes=MAX_BROADCAST_BYTES):
+    """The mask of each state's class, for a vocabulary of any size; null if the class allows nothing.
+
+    Masks of up to `most_bytes` bytes go to the tasks, larger ones are joined by shuffle, the states of a class spread.
+    """
+    masks = class_masks(vocab, width).withColumnRenamed("mask", out)
+    classed = with_token_class(states, row, used, width, "_class")
+    return join_unique(classed, masks.withColumnRenamed("token_class", "_class"), ["_class"], "left", states.columns, most_bytes=most_bytes).drop("_class")
+
+
 def allowed_tokens(states, vocab, row="row", used="used", width=ROW_LENGTH - 1):
     """Ids a constrained decoder may emit in each state, as a list beside it.
 
     A row with room takes tokens up to the room left, a full one only the next marker, or the
-    end after the last row; before the first marker everything goes. States of a class share
-    one list, so this is an equality join with a table of width + 65 rows, for a vocabulary of at most
-    MAX_BROADCAST_ROWS tokens. With a larger one join `with_token_class` and `class_tokens` instead.
+    end after the last row; before the first marker everything goes. States of a class share one mask, decoded once
+    for the class. For a large vocabulary `with_token_mask` keeps the masks and `mask_allows` asks them.
     """
-    if not is_small(vocab):
-        raise ValueError("lists of so many tokens do not belong beside every state; use class_tokens")
-    masks = class_tokens(vocab, width).groupBy("token_class").agg(F.sort_array(F.collect_list("id")).alias("allowed"))
+    lists = stored(class_masks(vocab, width), "masks").select(F.col("token_class").alias("_class"), mask_ids(F.col("mask")).alias("allowed"))
+    classed = with_token_class(states, row, used, width, "_class")
     return (
-        with_token_class(states, row, used, width).join(F.broadcast(masks), "token_class", "left")
+        join_unique(classed, lists, ["_class"], "left", states.columns)
         .withColumn("allowed", F.coalesce("allowed", F.array().cast("array<int>")))
-        .drop("token_class")
+        .drop("_class")
     )
 
 

@@ -110,7 +110,7 @@ def member_path(spark, sf):
 
 def distinct_generations(spark, sf):
     pages = X.load(spark, sf, "pages").select(
-        F.concat("url", F.lit("\n"), F.replace("url", F.lit("/en/"), F.lit("/generation-")),
+        F.concat(F.coalesce("html", F.lit("")), F.lit("\n"), "url", F.lit("\n"), F.replace("url", F.lit("/en/"), F.lit("/generation-")),
                  F.lit(" generation-7\n<a href=generation->")).alias("text")
     )
     return generations_in_text(pages, "text")
@@ -202,7 +202,8 @@ ORACLES = {
                  CASE WHEN var <> '' THEN '_' || var ELSE '' END,
                  CASE WHEN len(sub) > 0 THEN '_' || array_to_string(sub, '_') ELSE '' END, '.png') END AS rel
         FROM split""",
-    "distinct_generations": """WITH l AS (SELECT unnest([url, replace(url, '/en/', '/generation-') || ' generation-7']) AS line FROM pages)
+    "distinct_generations": r"""WITH l AS (SELECT unnest(list_concat(regexp_split_to_array(coalesce(html, ''), '\r\n|\n|\r'),
+          [url, replace(url, '/en/', '/generation-') || ' generation-7'])) AS line FROM pages)
         SELECT DISTINCT CAST(regexp_extract(line, 'generation-([0-9]+)', 1) AS INT) AS generation FROM l
         WHERE regexp_matches(line, 'generation-[0-9]+') ORDER BY 1""",
     "keyed_last": """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,

@@ -26,7 +26,8 @@ def vocabulary(spark, sf):
 
 
 def marker_ids_query(spark, sf):
-    return marker_ids(X.benchmark_vocab(spark, sf))
+    """The markers that the documents hold, in the documents' own vocabulary."""
+    return marker_ids(build_vocab(X.document_tokens(spark, sf), "seq", special=()))
 
 
 def encoded(spark, sf):
@@ -218,7 +219,9 @@ st AS (SELECT doc_id, w, unnest(range(0, len(w) - {CONTEXT} + 1, {STEP})) AS s F
 ORACLES = {
     "sequence_text": f"WITH {X.DOC_LINES} SELECT doc_id, array_to_string(toks, ' ') AS seq FROM ds",
     "vocabulary": f"WITH {X.DOC_TOKENS}, corpus AS (SELECT tok FROM dt), {X.VOCAB} SELECT token, id FROM vocab",
-    "marker_ids": f"WITH {X.SPECIALS} SELECT token, id FROM sp WHERE starts_with(token, '[ROW_')",
+    "marker_ids": f"""WITH {X.DOC_TOKENS},
+        v AS (SELECT tok AS token, CAST(row_number() OVER (ORDER BY tok) - 1 AS INT) AS id FROM (SELECT DISTINCT tok FROM dt))
+        SELECT token, id FROM v WHERE regexp_full_match(token, '\\[ROW_([0-5][0-9]|6[0-3])\\]')""",
     "encode_ids": f"""WITH {X.DOC_TOKENS}, {X.BENCHMARK_VOCAB}
         SELECT doc_id, string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY pos) AS ids
         FROM dt LEFT JOIN vocab ON tok = token GROUP BY doc_id""",

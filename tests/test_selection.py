@@ -14,8 +14,8 @@ from gridprep.operators.metadata import chain_stage
 from gridprep.operators.ranking import global_rank
 from gridprep.operators.scoring import binary_eval, filter_candidates, token_share, weighted_nll
 from gridprep.operators.selection import (
-    allowed_tokens, best_of_n, blend_vectors, class_tokens, make_negatives, resolve_conditioning, sample_fields, sample_picks,
-    split_rows, sum_vectors, with_token_class,
+    allowed_tokens, best_of_n, blend_vectors, class_tokens, make_negatives, mask_allows, mask_ids, resolve_conditioning, sample_fields, sample_picks,
+    split_rows, sum_vectors, with_token_class, with_token_mask,
 )
 from gridprep.sources.tables import last_per_key
 
@@ -125,6 +125,8 @@ def test_blend_and_sum(spark):
     rows = spark.createDataFrame([("r", 0, 1), ("s", 1, 9)], "k STRING, a INT, b INT")
     total = {r["k"]: r["vector"] for r in sum_vectors(rows, [("a", vectors), ("b", vectors)]).collect()}
     assert total == {"r": [1.0, 2.0], "s": None}
+    wide = sum_vectors(rows, [("a", vectors), ("b", vectors)], most_bytes=10)
+    assert {r["k"]: r["vector"] for r in wide.collect()} == total
     drawn = sample_picks(spark.range(500), ["id"], 7, 3, 1)
     assert drawn.count() == 1500 and {r["vec_id"] for r in drawn.collect()} == set(range(7))
     assert abs(drawn.agg(F.avg("logit")).first()[0]) < 0.1
@@ -152,7 +154,7 @@ def test_candidates(spark):
         assert found == {i: expected(step, k, p, t) for i, step in enumerate(steps) if step}
 
 
-def test_allowed_tokens(spark, monkeypatch):
+def test_allowed_tokens(spark):
     tokens = SPECIAL_TOKENS + ["a", "ab", "abc", "~", "[", "]"]
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token STRING, id INT")
     states = [(row, used) for row in (-1, 0, 5, 63) for used in range(6)]
@@ -169,9 +171,16 @@ def test_allowed_tokens(spark, monkeypatch):
         assert {tokens[i] for i in r["allowed"]} == expected(r["row"], r["used"])
     by_class = with_token_class(df, width=4).join(class_tokens(vocab, 4), "token_class").collect()
     assert {(r["row"], r["used"], tokens[r["id"]]) for r in by_class} == {(*s, t) for s in states for t in expected(*s)}
-    monkeypatch.setattr("gridprep.operators.selection.is_small", lambda *_: False)
-    with pytest.raises(ValueError):
-        allowed_tokens(df, vocab)
+    # ids with gaps, and masks sent to the tasks or joined by shuffle
+    apart = vocab.withColumn("id", F.col("id") * 37 + 5)
+    probes = F.sequence(F.lit(0), F.lit(37 * len(tokens) + 300))
+    for most_bytes in (1 << 20, 0):
+        masked = with_token_mask(df, apart, width=4, most_bytes=most_bytes)
+        asked = masked.select("row", "used", mask_ids(F.col("mask")).alias("ids"), F.filter(probes, lambda i: mask_allows(F.col("mask"), i)).alias("asked"))
+        for r in asked.collect():
+            assert r["ids"] == r["asked"] and {tokens[(i - 5) // 37] for i in r["ids"]} == expected(r["row"], r["used"])
+            assert all(i % 37 == 5 for i in r["ids"])
+    assert allowed_tokens(df, vocab.where("false"), width=4).where(F.size("allowed") == 0).count() == len(states)
 
 
 def test_losses(spark):
