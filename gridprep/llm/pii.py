@@ -79,19 +79,27 @@ def is_valid(kind, match):
 
 
 def _totals(values):
-    """Running totals of an array of longs, in blocks, so that the work grows little faster than the array."""
+    """Running totals of an array of longs."""
+    return _running(values, lambda a, b: a + b)
+
+
+def _running(values, combine):
+    """Running sums, or whatever `combine` makes with zero as its neutral start, of an array of longs, in blocks, so that
+    the work grows little faster than the array."""
+    def total(part):
+        return F.aggregate(part, F.lit(0).cast("bigint"), lambda a, b: combine(a, b))
+
     def inside(block):
-        return F.transform(block, lambda _, i: F.aggregate(F.slice(block, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, b: a + b))
+        return F.transform(block, lambda _, i: total(F.slice(block, F.lit(1), i + 1)))
 
     def joined(blocks):
         sums = F.transform(blocks, lambda b: F.element_at(b, -1))
         return let(sums, lambda s: F.flatten(F.transform(blocks, lambda block, j: let(
-            F.aggregate(F.slice(s, F.lit(1), j), F.lit(0).cast("bigint"), lambda a, b: a + b),
-            lambda before: F.transform(block, lambda x: x + before),
+            total(F.slice(s, F.lit(1), j)), lambda before: F.transform(block, lambda x: combine(x, before)),
         ))))
 
     blocks = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(BLOCK)), lambda i: inside(F.slice(values, i, F.lit(BLOCK))))
-    return let(blocks, joined)
+    return F.when(F.size(values) > 0, let(blocks, joined)).otherwise(F.array().cast("array<bigint>"))
 
 
 SPAN = "array<struct<start:bigint,end:bigint,match:string>>"
@@ -217,8 +225,29 @@ def _added(text, kind, model, base):
     if threshold is None:
         return F.array().cast("array<struct<start:bigint,end:bigint>>")
     sure = F.filter(candidates(text, kind), lambda c: ~c["sure"] & (boosting.score_column(trees, [c[f] for f in FEATURES]) >= F.lit(threshold - 1e-9)))
-    free = F.filter(sure, lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+    return _apart_from(sure, base)
+
+
+def _apart_from(spans, base):
+    """The spans, as (start, end), that overlap no base span.
+
+    Base spans by their start and spans by their end are sorted together; a span is free if no base span before it, in
+    this order, ends behind its start.
+    """
+    zero = F.lit(0).cast("bigint")
+    marks = F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("turn"), zero.alias("start"), s["end"].alias("reach"))),
+        F.transform(spans, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("turn"), c["start"].alias("start"), zero.alias("reach"))),
+    )
+
+    def free(sorted_marks):
+        reach = _running(F.transform(sorted_marks, lambda m: m["reach"]), F.greatest)
+        return let(reach, lambda r: F.transform(
+            F.filter(sorted_marks, lambda m, i: (m["turn"] == 0) & (F.get(r, i) <= m["start"])),
+            lambda m: F.struct(m["start"].alias("start"), m["at"].alias("end")),
+        ))
+
+    return let(F.array_sort(marks), free)
 
 
 def _listed(spans):
@@ -256,11 +285,18 @@ def redact(found):
     Spans that overlap are one stretch. Returns `found` with the new text and without base and spans.
     """
     def stretches(spans):
-        heads = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, F.lit(1), i), lambda t: t["end"] > s["start"]))
-        return let(heads, lambda h: F.transform(h, lambda s, i: F.struct(
-            s["start"].alias("start"), s["kind"].alias("kind"),
-            F.array_max(F.transform(F.filter(spans, lambda t: (t["start"] >= s["start"]) & ((i + 1 >= F.size(h)) | (t["start"] < F.get(h, i + 1)["start"]))), lambda t: t["end"])).alias("end"),
-        )))
+        """The first span of each stretch, with the end of the stretch: the furthest end before the next one starts."""
+        def cut(reach):
+            heads = F.filter(
+                F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i"))),
+                lambda s: (s["i"] == 0) | (F.get(reach, s["i"] - 1) <= s["start"]),
+            )
+            return let(heads, lambda h: F.transform(h, lambda s, j: F.struct(
+                s["start"].alias("start"), s["kind"].alias("kind"),
+                F.get(reach, F.coalesce(F.get(h, j + 1)["i"], F.size(spans)) - 1).alias("end"),
+            )))
+
+        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), cut)
 
     def rewritten(parts):
         names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
@@ -272,5 +308,5 @@ def redact(found):
         rest = F.substr(F.col("text"), F.element_at(parts, -1)["end"].cast("int") + 1, F.length("text"))
         return F.concat(F.array_join(F.transform(parts, piece), ""), rest)
 
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(stretches(F.col("spans")), rewritten))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(let(F.col("spans"), stretches), rewritten))
     return found.withColumn("text", text).drop("base", "spans")

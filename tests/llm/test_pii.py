@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,34 @@ def test_redaction_leaves_nothing(spark):
         assert row.text == want + text[at:]
 
 
+def test_overlaps(spark):
+    """Spans that touch, nest and overlap base spans, against all pairs."""
+    random.seed(9)
+
+    def some(n):
+        return sorted((a, a + random.randrange(1, 9)) for a in (random.randrange(0, 400) for _ in range(n)))
+
+    cases = [(i, some(random.randrange(0, 25)), some(random.randrange(0, 40))) for i in range(60)] + [(60, some(600), [(900, 905)])]
+    kind = "array<struct<start:bigint,end:bigint>>"
+    rows = spark.createDataFrame(cases, f"i int, spans {kind}, base {kind}").select("i", pii._apart_from(F.col("spans"), F.col("base")).alias("free"))
+    for i, free in rows.collect():
+        _, spans, base = cases[i]
+        assert sorted(map(tuple, free)) == [c for c in spans if not any(s[0] < c[1] and c[0] < s[1] for s in base)]
+
+
+def test_many_spans_of_one_text_take_time_in_proportion(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "write to someone@example.com, " * n)], "doc_id long, text string")
+        started = time.perf_counter()
+        text = pii.redact(pii.find(docs, NOTHING)).head().text
+        assert text == "write to [EMAIL], " * n
+        return time.perf_counter() - started
+
+    seconds(2_000)
+    times = {n: seconds(n) for n in (2_000, 8_000)}
+    assert times[8_000] < 8 * max(1.0, times[2_000]), times
+
+
 def test_trees_add_spans_of_the_same_shape(spark):
     """Cards that fail the check by a digit, among many that pass, are added; other numbers are not."""
     good = "4111111111111111"
