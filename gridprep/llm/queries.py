@@ -69,6 +69,7 @@ def op9_language(spark, sf_dir):
 # A capture's fetch time and a list's history do not come with the tables; both follow from hashes of what does.
 DAY, FIRST_DAY, DAYS = 86_400, 1_704_067_200, 400
 _NUMBER = {"spark": "CAST(conv(substring(md5({0}), 1, 8), 16, 10) AS BIGINT)", "duckdb": "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"}
+_ROUNDS = {"spark": "explode(array(0, 1, 2))", "duckdb": "unnest([0, 1, 2])"}
 
 
 def _captures_sql(engine):
@@ -85,10 +86,10 @@ def _entries_sql(engine):
     seed = "concat(pattern, '|', host, '|', section, '|', CAST(round AS VARCHAR(2)))"
     return f"""
     WITH sites AS (SELECT DISTINCT {host} AS host, {labels} AS parent, {section} AS section FROM pages),
-    rounds AS (SELECT 0 AS round UNION ALL SELECT 1 AS round UNION ALL SELECT 2 AS round),
+    rounds AS (SELECT *, {_ROUNDS[engine]} AS round FROM sites),
     named AS (
       SELECT host, section, round,
-       CASE round WHEN 0 THEN host WHEN 1 THEN parent ELSE concat(host, '/', section) END AS pattern FROM sites, rounds
+       CASE round WHEN 0 THEN host WHEN 1 THEN parent ELSE concat(host, '/', section) END AS pattern FROM rounds
     ),
     drawn AS (SELECT pattern, {number(seed)} AS n, {seed} AS entry_id FROM named WHERE pattern <> '')
     SELECT pattern, {FIRST_DAY} + (n % {DAYS}) * {DAY} AS dated, entry_id,

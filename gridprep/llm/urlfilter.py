@@ -4,12 +4,17 @@ A list is a history of dated entries. The entries of a pattern become intervals:
 time until the pattern's next entry, and a removal leaves none. A capture is looked up under every
 suffix of its host, with and without its first path segment, and every interval that holds its
 fetch time applies; of those the most specific pattern decides.
+
+The as-of join sorts lookups and intervals together and carries the last interval forward, so a lookup meets one
+interval however long the history of its pattern is, and a pattern that most captures share is cut by time.
 """
 
-from pyspark.sql import Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Window, functions as F, types as T
 
 from gridprep.llm.tables import written
-from gridprep.operators.joins import spread_join
 
 
 def host_of(url):
@@ -44,6 +49,54 @@ def _patterns(host, segment):
     return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
+def _carried(batches):
+    """Of sorted batches of lookups and intervals each lookup with the last interval before it, null if the part
+    has none yet, and after them a row without a capture that holds the part's last interval."""
+    part, last, schema = TaskContext.get().partitionId(), None, None
+    for batch in batches:
+        schema = batch.schema
+        spans = batch.column("span")
+        last = pa.nulls(1, spans.type) if last is None else last
+        is_span = spans.is_valid().to_numpy(zero_copy_only=False)
+        # place 0 is the interval carried into the batch
+        at = np.maximum.accumulate(np.where(is_span, np.arange(1, len(is_span) + 1), 0))
+        carried = pa.concat_arrays([last, spans]).take(pa.array(at))
+        last = carried.slice(len(carried) - 1, 1) if len(carried) else last
+        lookups = pa.array(~is_span)
+        columns = [batch.column(c).filter(lookups) for c in ("capture", "pattern", "at")] + [carried.filter(lookups)]
+        yield _with_part(part, columns)
+    if schema is not None:
+        yield _with_part(part, [pa.nulls(1, schema.field(c).type) for c in ("capture", "pattern", "at")] + [last])
+
+
+def _with_part(part, columns):
+    parts = pa.array(np.full(len(columns[0]), part, dtype=np.int32))
+    return pa.RecordBatch.from_arrays([parts, *columns], names=["part", "capture", "pattern", "at", "span"])
+
+
+def as_of(lookups, spans):
+    """Each lookup (capture, pattern, at) that an interval of `intervals` holds, with it as `span`: at most one row for each.
+
+    Intervals of a pattern do not overlap, so only the last that begins at or before `at` can hold it. Rows are sorted by pattern
+    and time over all parts; the interval carried into a part is the last one of the parts before it.
+    """
+    span = F.struct("pattern", "verdict", "since", "until")
+    both = lookups.select("capture", "pattern", "at", F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType).alias("span")).unionByName(
+        spans.select(F.lit(None).cast("bigint").alias("capture"), "pattern", F.col("since").alias("at"), span.alias("span"))
+    )
+    # an interval stands before the lookups of its first moment
+    order = ["pattern", "at", F.col("span").isNull(), "capture"]
+    ordered = both.repartitionByRange(*order).sortWithinPartitions(*order)
+    nullable = [T.StructField(f.name, f.dataType) for f in both.schema.fields]
+    found = ordered.mapInArrow(_carried, T.StructType([T.StructField("part", T.IntegerType()), *nullable]))
+    holds = (F.col("span.pattern") == F.col("pattern")) & (F.col("at") >= F.col("span.since")) & (F.col("span.until").isNull() | (F.col("at") < F.col("span.until")))
+    found = written(found.where(F.col("capture").isNull() | F.col("span").isNull() | holds), "as_of")
+    # one row for each part of the sort
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = found.where("capture IS NULL").select("part", F.last("span", ignorenulls=True).over(before).alias("before"))
+    return found.where("capture IS NOT NULL").join(F.broadcast(ends), "part").withColumn("span", F.coalesce("span", "before")).where(holds).drop("part", "before")
+
+
 def filter_captures(captures, entries):
     """One row per capture: page_id, host, fetched_at, verdict, pattern, since, n_active.
 
@@ -57,8 +110,10 @@ def filter_captures(captures, entries):
         captures.select(F.monotonically_increasing_id().alias("capture"), "page_id", host_of(url).alias("host"), segment_of(url).alias("segment"), "fetched_at"),
         "captures",
     )
-    keys = rows.where("fetched_at IS NOT NULL").select("capture", "fetched_at", F.explode(_patterns(F.col("host"), F.col("segment"))).alias("pattern"))
-    found = spread_join(keys, intervals(entries), "pattern", spread=["capture"]).where("since <= fetched_at AND (until IS NULL OR fetched_at < until)")
+    keys = rows.where("fetched_at IS NOT NULL").select(
+        "capture", F.explode(_patterns(F.col("host"), F.col("segment"))).alias("pattern"), F.col("fetched_at").alias("at")
+    )
+    found = as_of(keys, intervals(entries)).select("capture", "span.*")
     # the first in the alphabet of the longest: by length, then by the fewest larger signs
     order = F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("p"))
     decided = found.groupBy("capture").agg(F.min_by(F.struct("verdict", "pattern", "since"), order).alias("d"), F.count("*").alias("n"))
