@@ -8,9 +8,11 @@ from gridprep.operators.metadata import shape_species
 from gridprep.sources.checkpoints import latest_valid
 from gridprep.session import shared_folder
 from gridprep.sources.logs import scan_log, scrape_log
+from gridprep.sources.metadata import read_metadata
 from gridprep.sources.tables import generations_in_text, last_per_key, read_one, restrict, upsert
 from gridprep.sources.versions import latest_rows, load_version, save_version
 from suite import fixtures as X
+from suite.keys import METADATA, metadata
 
 # member paths of all kinds: good ones, a back view, a wrong prefix, no number, too short
 MEMBERS = """
@@ -143,6 +145,18 @@ def log_files(spark, sf):
     return scrape_log(scan_log(spark, folder))
 
 
+def metadata_files(spark, sf):
+    """Species as files of JSON arrays, one for a thousand ids, each id twice in its array; the later row counts."""
+    folder = shared_folder(spark, "metadata")
+    species = metadata(spark, sf)
+    turns = species.select(F.lit(0).alias("turn"), "id", F.to_json(F.struct("id", F.lit("older").alias("name"))).alias("json")).unionByName(
+        species.select(F.lit(1).alias("turn"), "id", F.to_json(F.struct("*")).alias("json")))
+    arrays = turns.groupBy(F.floor(F.col("id") / 1000).alias("block")).agg(F.sort_array(F.collect_list(F.struct("turn", "id", "json"))).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join("rows.json", ",\n"), F.lit("]"))
+    arrays.select("block", text.alias("value")).write.partitionBy("block").text(folder)
+    return read_metadata(spark, folder).select(*species.columns)
+
+
 def upsert_files(spark, sf):
     """The events of even numbers written by key, then those of odd numbers over them."""
     folder = shared_folder(spark, "upserts")
@@ -180,6 +194,7 @@ QUERIES = {
     "log_samples": log_samples,
     "species_shape": species_shape,
     "log_files": log_files,
+    "metadata_files": metadata_files,
     "upsert_files": upsert_files,
     "version_files": version_files,
 }
@@ -218,6 +233,7 @@ ORACLES = {
         UNION ALL SELECT doc_id, doc_id + 100, '[ROW_00] ~ ;' FROM documents""",
     "log_files": r"""SELECT doc_id AS step, regexp_replace(text, '\r\n?', chr(10), 'g') AS sample FROM documents
         UNION ALL SELECT doc_id + 1000000, '[ROW_00] ~ ;' FROM documents""",
+    "metadata_files": METADATA,
     "upsert_files": f"""WITH u AS ({UPSERTS})
         SELECT generation, game_name, name, event_id, value FROM u
         QUALIFY row_number() OVER (PARTITION BY generation, game_name, name ORDER BY event_id % 2 DESC, event_id DESC) = 1""",
