@@ -1,10 +1,11 @@
 """Grids of tokens. Text form: rows end at a newline, cells at a blank.
 Cell form: array<array<string>>."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridprep.constants import BLANK, DOMINANCE_THRESHOLD, GRID_SIZE, PALETTE_START
-from gridprep.functions.text import empty_array, let, line_words, lines, split_line_words
+from gridprep.functions.text import apart, empty_array, let, line_words, lines, split_line_words
 
 
 def text_to_grid(data):
@@ -113,13 +114,29 @@ def flip_horizontal(data):
 
 def permute_channels(data, permutation):
     """Swap colour channels; `permutation[i]` is the source (r, g, b) of channel i."""
-    source, target = "", ""
+    return permute_channels_by(data, F.lit(0), {0: permutation})
+
+
+def permute_channels_by(data, choice, permutations):
+    """Swap colour channels by the permutation that `choice`, a number of each row, has in a dictionary; None swaps nothing, and a
+    number that is not there gives null."""
+    tables = {label: {} if permutation is None else _recoding(permutation) for label, permutation in permutations.items()}
+
+    @F.arrow_udf("string")
+    def recoded(texts: pa.Array, labels: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), labels.to_pylist())
+        return pa.array([None if text is None or label not in tables else text.translate(tables[label]) for text, label in rows], pa.string())
+
+    return apart(recoded)(data, choice)
+
+
+def _recoding(permutation):
+    table = {}
     for index in range(64):
         levels = (index // 16, index // 4 % 4, index % 4)
         r, g, b = (levels[i] for i in permutation)
-        source += chr(PALETTE_START + index)
-        target += chr(PALETTE_START + r * 16 + g * 4 + b)
-    return F.translate(data, source, target)
+        table[PALETTE_START + index] = PALETTE_START + r * 16 + g * 4 + b
+    return table
 
 
 def border_is_blank(cells):

@@ -27,9 +27,8 @@ def palette_token(r, g, b):
 
 def palette_level(token, channel):
     """The centre of a token's colour bin in channel "r", "g" or "b"; a missing token is black."""
-    divisor = {"r": 16, "g": 4, "b": 1}[channel]
-    index = F.ascii(token) - PALETTE_START
-    level = F.floor(index / divisor).cast("int")
+    bits = {"r": 4, "g": 2, "b": 0}[channel]
+    level = F.shiftright(F.ascii(token) - PALETTE_START, bits)
     if channel != "r":
         level = F.pmod(level, F.lit(4))
     return (

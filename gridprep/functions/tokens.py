@@ -1,51 +1,30 @@
 """Token sequences: text, markers, positions."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridprep.constants import (
     BLANK, BOS, CONTEXT_LENGTH, EOS, FIRST_ROW_ID, GRID_SIZE, N_ROWS, POSITION_PAD,
     ROW_LENGTH, ROW_PREFIX, ROW_START, ROW_TOKENS, TEXT_PREFIX,
 )
-from gridprep.functions.text import blanks_in_lines, empty_array, let, line_words, lines
+from gridprep.functions.text import apart, empty_array, let, line_words
 
 
 def sequence_text(data, row_length=ROW_LENGTH):
-    """Row marker and cells 1 to row_length - 1 of every line that is not empty.
+    """Row marker and cells 1 to row_length - 1 of every line that is not empty."""
 
-    Where single blanks are the only whitespace in the lines, as in grids written by this
-    package, the lines are cut as text; else they are split into words.
-    """
-    markers = F.array(*[F.lit(t) for t in ROW_TOKENS])
-
-    def marker(i):
-        return F.coalesce(F.get(markers, i), F.format_string("[ROW_%02d]", i))
+    @F.arrow_udf("string")
+    def sequences(texts: pa.Array) -> pa.Array:
+        return pa.array([None if text is None else _sequence(text, row_length) for text in texts.to_pylist()], pa.string())
 
-    def of_words(text):
-        rows = F.filter(line_words(text), lambda row: F.size(row) > 0)
-        return F.transform(
-            rows,
-            lambda row, i: F.array_join(
-                F.concat(F.array(marker(i)), F.slice(row, F.lit(2), F.lit(row_length - 1))), " "
-            ),
-        )
+    return apart(sequences)(data)
 
-    def of_lines(text):
-        def cut(line, i):
-            first = F.substring_index(line, " ", row_length)
-            blank = F.instr(first, " ")
-            rest = F.substr(first, blank)
-            return F.when(blank > 0, F.concat(marker(i), rest)).otherwise(marker(i))
-
-        return F.transform(F.filter(lines(text), lambda line: line != ""), cut)
-
-    def parts(text):
-        untidy = (
-            F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\n ")) | F.contains(text, F.lit(" \n"))
-            | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
-        )
-        return F.when(untidy, of_words(text)).otherwise(of_lines(text))
 
-    return F.array_join(let(blanks_in_lines(data), parts), " ")
+def _sequence(text, row_length):
+    rows = filter(None, map(str.split, text.split("\n")))
+    return " ".join([
+        " ".join([ROW_TOKENS[i] if i < N_ROWS else f"{ROW_PREFIX}{i}]", *cells[1:row_length]]) for i, cells in enumerate(rows)
+    ])
 
 
 def sequence_text_bos(data, row_length=ROW_LENGTH):

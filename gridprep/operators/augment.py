@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridprep.functions.grids import flip_horizontal, permute_channels
+from gridprep.functions.grids import flip_horizontal, permute_channels_by
 from gridprep.functions.names import variant_name, variants
 from gridprep.functions.pixels import palette_level
 from gridprep.functions.text import lines
@@ -14,21 +14,16 @@ def augment(df, permutations=None, name="name", data="data"):
     The mirror image is made once per grid; each variant then recodes characters.
     """
     listed = variants(permutations)
-    shifts = {label: (suffix, permutation) for label, suffix, _, permutation in listed}
+    shifts = {label: permutation for label, _, _, permutation in listed}
     choices = F.array(*[
         F.struct(F.lit(label).alias("label"), F.lit(suffix).alias("suffix"), F.lit(flipped).alias("flipped"))
         for label, suffix, flipped, _ in listed
     ])
     spread = df.withColumn("_flip", flip_horizontal(F.col(data))).withColumn("_v", F.explode(choices))
     base = F.when(F.col("_v.flipped"), F.col("_flip")).otherwise(F.col(data))
-    spread = spread.withColumn(data, base)
-    recoded = F.lit(None).cast("string")
-    for label, (_, permutation) in shifts.items():
-        text = F.col(data) if permutation is None else permute_channels(F.col(data), permutation)
-        recoded = F.when(F.col("_v.label") == label, text).otherwise(recoded)
     return spread.withColumns({
         name: variant_name(F.col(name), F.col("_v.suffix"), F.col("_v.flipped")),
-        data: recoded,
+        data: permute_channels_by(base, F.col("_v.label"), shifts),
         "color_shift": F.col("_v.label"),
     }).drop("_v", "_flip")
 

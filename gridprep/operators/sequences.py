@@ -9,15 +9,13 @@ from gridprep.functions.text import let, running_sum, with_kept, words
 
 def to_sequence(df, data="data", text="text", row_length=ROW_LENGTH):
     """Add the sequence text of a grid; grids without data are left out."""
-    return _to_text(df, data, text, lambda grid: T.sequence_text(grid, row_length))
+    # a filter is not pushed below a Python function that stands apart
+    return df.withColumn(text, F.when(F.col(data) != "", T.sequence_text(F.col(data), row_length))).where(F.col(text).isNotNull())
 
 
 def to_sequence_bos(df, data="data", text="text", row_length=ROW_LENGTH):
-    return _to_text(df, data, text, lambda grid: T.sequence_text_bos(grid, row_length))
-
-
-def _to_text(df, data, text, form):
-    return with_kept(df, text, F.when(F.col(data) != "", form(F.col(data))), lambda t: t.isNotNull())
+    form = T.sequence_text_bos(F.col(data), row_length)
+    return with_kept(df, text, F.when(F.col(data) != "", form), lambda t: t.isNotNull())
 
 
 def chunk_pad(df, ids="input_ids", length=CONTEXT_LENGTH):

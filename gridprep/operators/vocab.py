@@ -11,15 +11,30 @@ from gridprep import schemas
 from gridprep.constants import (
     BACKGROUND_WEIGHT, BLANK, MAX_BROADCAST_ROWS, ROW_TOKENS, SPECIAL_TOKENS, UNK_ID,
 )
-from gridprep.functions.text import apart, words
+from gridprep.functions.text import apart
 from gridprep.operators.joins import ROWS_PER_TASK, bounded_rows, spread_join
 from gridprep.operators.ranking import global_rank
 from gridprep.session import stored
 
 
 def distinct_tokens(df, text="text"):
-    """Each token of the corpus once; repeats inside a text go before the shuffle."""
-    return df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("token")).distinct()
+    """Each token of the corpus once; repeats inside a batch of texts go before the shuffle."""
+
+    def tokens(batches):
+        for batch in batches:
+            found = set()
+            for value in batch.column(0):
+                found.update((value.as_py() or "").split())
+                if len(found) > PART_ELEMENTS:
+                    yield _tokens(found)
+                    found = set()
+            yield _tokens(found)
+
+    return df.select(text).mapInArrow(tokens, "token string").distinct()
+
+
+def _tokens(found):
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["token"])
 
 
 def build_vocab(df, text="text", special=SPECIAL_TOKENS):

@@ -67,10 +67,10 @@ def training_table_job(spark, sf):
     train, _ = training_table(spark, sf)
     return train.select(
         "name", "generation", "game_name", "chunk", "color_shift", "identity_idx", "input_text",
-        F.md5("original_text").alias("original_text"), F.md5(X.as_text("input_ids")).alias("input_ids"),
+        F.md5("original_text").alias("original_text"), F.md5(X.wide_as_text("input_ids")).alias("input_ids"),
         (F.col("labels") == F.col("input_ids")).alias("same_labels"),
         F.size(F.array_remove("attention_mask", 0)).alias("n_tokens"),
-        *[F.md5(X.as_text(c)).alias(c) for c in ("row_ids", "col_ids")],
+        *[F.md5(X.wide_as_text(c)).alias(c) for c in ("row_ids", "col_ids")],
         *METADATA_CODES, X.as_text("name_chars").alias("name_chars"),
     )
 
