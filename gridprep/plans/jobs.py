@@ -18,6 +18,8 @@ from gridprep.sources.images import extract_archives, name_members
 from gridprep.sources.png import decode_png
 from gridprep.sources.tables import upsert
 
+TASKS_PER_CORE = 4
+
 
 def archives_to_images(spark, pattern, path, prefix):
     """Store the PNG members of archives by key."""
@@ -46,7 +48,10 @@ def grids_to_training_table(grids, metadata, context_length=CONTEXT_LENGTH, perm
     grids = augment(fitted, permutations)
     vocab = build_vocab(to_sequence(grids.select("data")))
     # the species does not depend on the variant, so its codes are joined before the rows multiply
-    described = augment(join_metadata(fitted, metadata), permutations)
+    joined = join_metadata(fitted, metadata)
+    # a join by shuffle leaves about one task to a core, by the size of its rows; what follows makes twelve long ones of each
+    tasks = max(fitted.rdd.getNumPartitions(), TASKS_PER_CORE * grids.sparkSession.sparkContext.defaultParallelism)
+    described = augment(joined.repartition(tasks, "name", "data"), permutations)
     named = described.withColumn("name_chars", name_chars(F.col("name")).cast("array<bigint>"))
     encoded = encode_ids(to_sequence(index_keys(named)), vocab, tokens="text").drop("data")
     train = chunk_pad(encoded, "input_ids", context_length)

@@ -38,7 +38,8 @@ def training_table(spark, sf):
 def archives_job(spark, sf):
     """The sprites as members of archives, among members that are no sprites; stored by key, read back and made grids."""
     folder, store = shared_folder(spark, "archives"), shared_folder(spark, "images")
-    files = with_png(sprites(spark, sf)).repartition(3)
+    images = sprites(spark, sf)
+    files = with_png(images).repartition(max(3, images.rdd.getNumPartitions()))
     stem = F.regexp_replace(F.regexp_replace(F.translate(F.col("name"), "_", "-"), "^0+", ""), r"\.png$", "")
     paths = F.array(*[
         F.concat(F.lit(prefix), "game_name", F.lit(part), stem, F.lit(suffix))
