@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from gridprep.functions.names import normalise_member_path
-from gridprep.sources.files import list_files, path_keys, tree_reader
+from gridprep.sources.files import list_files, path_keys, tree_files
 from gridprep.sources.tables import KEY, last_per_key
 
 MEMBERS_PER_BATCH = 256
@@ -31,7 +31,7 @@ def decode_images(files):
 
 def scan_images(spark, root, generation=None, game_name=None, drop_invalid=False):
     """Decoded PNG files of a tree; data is rows of B, G, R and maybe A."""
-    reader, folder = tree_reader(spark, root, generation, game_name, ".png")
+    _, reader, folder, _ = tree_files(spark, root, generation, game_name, ".png")
     return decode_images(reader.format("image").option("dropInvalid", str(drop_invalid).lower()).load(folder))
 
 

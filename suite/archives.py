@@ -41,10 +41,13 @@ def write_tree(files, root):
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
             for generation, game_name, name, content in zip(*[batch[c].to_pylist() for c in ("generation", "game_name", "name", "content")]):
                 folder = f"{base}/{generation}/{game_name}"
-                store.create_dir(folder, recursive=True)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(f"{folder}/{name}") as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])

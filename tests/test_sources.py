@@ -65,6 +65,18 @@ def test_scan_grids(spark, tmp_path):
         read_one(grids, "gen3", "b", "003.txt")
 
 
+def test_many_small_grids_are_few_tasks(spark, tmp_path):
+    for i in range(1400):
+        write(tmp_path, "gen3", "a", f"{i:04d}.txt", f"{i} ;\r\n~ ~")
+    write(tmp_path, "gen3", "a", "marks.txt", b"\xef\xbb\xbf\xc3\xa9 \xff ~\n")
+    grids = scan_grids(spark, tmp_path)
+    assert grids.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    # the text source has the same texts
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    told = spark.read.text(str(tmp_path / "gen3/a"), wholetext=True).select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0), text)
+    assert rows(grids.select("name", "data")) == rows(told) and grids.count() == 1401
+
+
 GRID_SCHEMA = "generation STRING, game_name STRING, name STRING, data STRING"
 
 
