@@ -31,8 +31,8 @@ def decode_images(files):
 
 def scan_images(spark, root, generation=None, game_name=None, drop_invalid=False):
     """Decoded PNG files of a tree; data is rows of B, G, R and maybe A."""
-    _, reader, folder, _ = tree_files(spark, root, generation, game_name, ".png")
-    return decode_images(reader.format("image").option("dropInvalid", str(drop_invalid).lower()).load(folder))
+    _, reader, folder, tasks = tree_files(spark, root, generation, game_name, ".png")
+    return decode_images(reader.format("image").option("dropInvalid", str(drop_invalid).lower()).load(folder).coalesce(tasks))
 
 
 def extract_archives(spark, pattern):

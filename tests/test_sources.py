@@ -77,6 +77,14 @@ def test_many_small_grids_are_few_tasks(spark, tmp_path):
     assert rows(grids.select("name", "data")) == rows(told) and grids.count() == 1401
 
 
+def test_many_small_images_are_few_tasks(spark, tmp_path):
+    for i in range(1400):
+        write(tmp_path, "gen3", "a", f"{i:04d}.png", png([[(i % 256, i // 256, 3)]]))
+    images = scan_images(spark, tmp_path)
+    assert images.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert rows(images.select("name", F.hex("data"))) == [(f"{i:04d}.png", f"03{i // 256:02X}{i % 256:02X}") for i in range(1400)]
+
+
 GRID_SCHEMA = "generation STRING, game_name STRING, name STRING, data STRING"
 
 
