@@ -3,16 +3,18 @@
 Every stage takes the rows its predecessor kept. The rows of a stage that drops some are numbered and written, and
 dropped by number, so that each row is judged by its own text, whether its doc_id is null, repeated or neither.
 A table of up to `MOST_SENT_IDS` numbers is sent to the tasks, so that the texts do not move; a larger one
-is joined by shuffle.
+is joined by shuffle. Texts go to Python in batches of bounded size.
 """
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from gridprep.llm import langid, pii
 from gridprep.llm.decontam import contaminated
 from gridprep.llm.dedup import near_duplicates
 from gridprep.llm.packing import pack
-from gridprep.llm.tables import load, shared_folder, written
+from gridprep.llm.tables import bound_batches, load, shared_folder, written
 from gridprep.operators.joins import broadcast_if_small
 
 MOST_SENT_IDS = 1_000_000
@@ -30,6 +32,18 @@ def _without(rows, numbers):
     return rows.join(broadcast_if_small(numbers, MOST_SENT_IDS), ROW, "left_anti").drop(ROW)
 
 
+def _in_batches(stage):
+    """The stage, with batches of bounded size in its session."""
+
+    @wraps(stage)
+    def run(spark, docs, sf_dir):
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_batches
 def known_language(spark, docs, sf_dir):
     """Drop documents without a letter and those in which no language has LEAST_SHARE of the words.
 
@@ -41,6 +55,7 @@ def known_language(spark, docs, sf_dir):
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("doc.*")
 
 
+@_in_batches
 def deduplicate(spark, docs, sf_dir):
     """Keep one row of each group of near duplicates: the one with the smallest doc_id, with a null one if all are null.
 
@@ -59,12 +74,14 @@ def deduplicate(spark, docs, sf_dir):
     return _without(rows, dropped.unionByName(wordless.select(ROW).join(same, ROW, "left_anti")))
 
 
+@_in_batches
 def decontaminate(spark, docs, sf_dir):
     """Drop rows that hold a benchmark item."""
     rows = _numbered(docs)
     return _without(rows, contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), load(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", ROW))
 
 
+@_in_batches
 def redact(spark, docs, sf_dir):
     """Put the kind's name in place of personal data; n_chars follows. A null text becomes empty."""
     done = pii.redact(pii.find(docs, pii.train(docs)))
@@ -73,6 +90,7 @@ def redact(spark, docs, sf_dir):
     return done.select(docs.columns)
 
 
+@_in_batches
 def pack_sequences(spark, docs, sf_dir):
     """Places of the documents' pieces in sequences of 1024 tokens."""
     return pack(docs.select("doc_id", "text"))

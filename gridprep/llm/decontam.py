@@ -26,7 +26,7 @@ BITS = 128
 RADIUS = 36
 BLOCKS = 16
 WORDS_PER_PASS = 1_000_000  # words of benchmark items that one pass over the documents carries
-SLICE = 2 << 20
+SLICE = 1 << 20
 REGION = 1 << 14
 
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 63, BITS // 64, dtype=np.uint64)

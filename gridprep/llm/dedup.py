@@ -33,7 +33,7 @@ STARS = 2
 RARE = 8
 MOST_SENT_IDS = 1_000_000  # candidate ids sent to all tasks; more are joined by shuffle
 FIELDS = 64 // BITS
-SLICE = 4 << 20
+SLICE = 1 << 20
 LONGEST = 1024
 
 _random = np.random.default_rng(7)

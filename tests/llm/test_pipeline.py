@@ -1,11 +1,12 @@
 """Each stage against a slow version, on its own input."""
 
+import pyarrow as pa
 import pytest
 
 import brute
 import corpus_pipeline as pipeline
 from gridprep.llm import pii
-from gridprep.llm.tables import written
+from gridprep.llm.tables import BATCH_BYTES, TEXT_BATCH_BYTES, written
 
 SF = "/root/testdata/sf0.001"
 EXTRA = [(9000, None, "en", "s", 0), (9001, "", "en", "s", 0), (9002, "12 34", "en", "s", 5), (None, "the thing and the other one", "en", "s", 27)]
@@ -93,3 +94,27 @@ def test_rows_are_judged_by_their_own_text(spark, inputs):
     assert texts(kept) == sorted([(3, first), (7, second), (8, item), (8, third + " end"), (9, "")], key=str)
     clean = pipeline.decontaminate(spark, docs, SF)
     assert texts(clean) == sorted([r for r in rows if r[1] != item], key=str)
+
+
+def test_texts_go_in_batches_of_bounded_size(spark, inputs):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS text")
+    for name, stage in pipeline.STAGES:
+        spark.conf.unset(BATCH_BYTES)
+        stage(spark, inputs[name], SF)
+        assert max(r.size for r in texts.mapInArrow(sizes, "size long").collect()) < 2 * TEXT_BATCH_BYTES
+
+
+@pytest.mark.parametrize("most", ["2000", "64m"])
+def test_batches_of_any_size_give_the_same(spark, inputs, most):
+    spark.conf.set(BATCH_BYTES, most)
+    try:
+        for (name, stage), after in zip(pipeline.STAGES, [*list(inputs)[1:-1], "end"]):
+            found = stage(spark, inputs[name], SF)
+            assert spark.conf.get(BATCH_BYTES) == most
+            assert found.exceptAll(inputs[after]).isEmpty() and inputs[after].exceptAll(found).isEmpty()
+    finally:
+        spark.conf.unset(BATCH_BYTES)
