@@ -1,9 +1,15 @@
 """Batches and inventories."""
 
+from itertools import zip_longest
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from gridprep.operators.packed import PACKED, Packed, stored_packed, unpack_batches
 from gridprep.session import ensure_checkpoint_dir
 
 # (name in the batch, column, column that decides whether the batch carries it)
@@ -27,6 +33,7 @@ TRAINING_FIELDS = [
     )],
 ]
 IGNORED_LABEL = -100
+ROWS_PER_RANGE = 4096
 
 
 def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
@@ -36,20 +43,24 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     IGNORED_LABEL where the attention mask is 0, so that padding counts in no loss.
 
     The rows are cut into ranges of the order once, sorted, numbered and put into batches where they lie. Only the rows of a
-    batch that spans two ranges, at most batch_size - 1 of each range at either end, are moved again.
+    batch that spans two ranges, at most batch_size - 1 of each range at either end, are moved again. Their arrays
+    are packed while they move and lie; `df` may be Packed itself, as `stored_packed` gives it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    if {"labels", "input_ids", "attention_mask"} <= set(df.columns):
-        df = df.withColumn("labels", F.zip_with(
-            "input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(IGNORED_LABEL)).otherwise(i)
-        ))
-    known = set(df.columns)
+    given = isinstance(df, Packed)
+    schema_in = df.schema
+    known = set(schema_in.names)
+    ensure_checkpoint_dir((df.rows if given else df).sparkSession)
+    masked = {"labels", "input_ids", "attention_mask"} <= known
     used = [(out, column, guard) for out, column, guard in fields
             if column in known and (guard is None or guard in known)]
     inputs = sorted({column for _, column, _ in used} | {guard for _, _, guard in used if guard})
+    if not given:
+        df = stored_packed((_masked(df) if masked else df).select(*inputs, *[c for c in order if c not in inputs]), "rows", order)
+    held = [c for c in df.rows.columns if c in inputs or c == PACKED]
     place = F.monotonically_increasing_id()
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
-        *inputs, F.spark_partition_id().alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_inside")
+    parts = max(1, ceil(df.rows.count() / ROWS_PER_RANGE))
+    sorted_rows = df.rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        *held, F.spark_partition_id().alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_inside")
     ).checkpoint()
     sizes = sorted_rows.groupBy("_part").count()
     by_part = Window.orderBy("_part")  # one row per part
@@ -60,13 +71,19 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     ranked = sorted_rows.join(F.broadcast(bounds), "_part").withColumn("_rank", F.col("_start") + F.col("_inside"))
     first = F.floor(F.col("_rank") / batch_size) * batch_size
     spans = (first < F.col("_start")) | (~F.col("_last") & (first + batch_size > F.col("_end")))
-    schema = ", ".join(["batch bigint", "n bigint", *(f"`{out}` array<{df.schema[column].dataType.simpleString()}>" for out, column, _ in used)])
-    whole = ranked.where(~spans).select("_rank", *inputs).mapInArrow(_batches(batch_size, used), schema)
+    ranked = Packed(ranked.select("_rank", *held, spans.alias("_spans")), df.schema, df.leave)
+    late = given and masked and "labels" in inputs
+    kinds = (_masked(ranked.unpacked()) if late else ranked.unpacked()).schema
+    schema = ", ".join(["batch bigint", "n bigint", *(f"`{out}` array<{kinds[column].dataType.simpleString()}>" for out, column, _ in used)])
+    columns = ["_rank", *sorted({*inputs, "input_ids", "attention_mask"} if late else inputs)]
+    unpack = unpack_batches(df.schema, df.leave, columns) if PACKED in held else iter
+    whole = ranked.rows.where("NOT _spans").drop("_spans").mapInArrow(_batches(batch_size, used, unpack, to_arrow_type(kinds["labels"].dataType) if late else None), schema)
 
     def gathered(column):
         return F.transform("_rows", lambda row: row[column])
 
-    cut = ranked.where(spans).groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(
+    rest = ranked._replace(rows=ranked.rows.where("_spans")).unpacked()
+    cut = (_masked(rest) if late else rest).groupBy(F.floor(F.col("_rank") / batch_size).alias("batch")).agg(
         F.sort_array(F.collect_list(F.struct("_rank", *inputs))).alias("_rows"), F.count("*").alias("n"),
         *[F.bool_and(F.col(g).isNotNull()).alias(f"_has_{g}") for g in {guard for _, _, guard in used if guard}],
     ).select("batch", "n", *[
@@ -77,8 +94,26 @@ def collate(df, order, batch_size=16, fields=TRAINING_FIELDS):
     return whole.unionByName(cut).select("batch", "n", *ordered)
 
 
-def _batches(batch_size, used):
-    """Batches of rows that lie one behind the other: lists over the columns as they are."""
+def _masked(df):
+    return df.withColumn("labels", F.zip_with(
+        "input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(IGNORED_LABEL)).otherwise(i)
+    ))
+
+
+def _masked_lists(ids, mask, kind):
+    """`_masked` of two columns of lists; `kind` is the type of the labels."""
+    lengths, others = (pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (ids, mask))
+    if (lengths != others).any():
+        pairs = zip(ids.to_pylist(), mask.to_pylist())
+        return pa.array([None if i is None or m is None else [IGNORED_LABEL if b == 0 else a for a, b in zip_longest(i, m)] for i, m in pairs], kind)
+    hidden = pc.fill_null(pc.equal(mask.flatten(), 0), False)
+    labels = pc.if_else(hidden, pa.scalar(IGNORED_LABEL, kind.value_type), ids.flatten().cast(kind.value_type))
+    ends = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), labels, mask=ids.is_null())
+
+
+def _batches(batch_size, used, unpack=iter, labels=None):
+    """Batches of rows that lie one behind the other: lists over the columns as they are. With a type of `labels` these are made here."""
     def lists(rows):
         sizes = [batch_size] * (len(rows) // batch_size) + [len(rows) % batch_size] * (len(rows) % batch_size > 0)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -93,7 +128,10 @@ def _batches(batch_size, used):
 
     def run(batches):
         rest = None
-        for batch in batches:
+        for batch in unpack(batches):
+            if labels is not None:
+                masked = _masked_lists(batch.column("input_ids"), batch.column("attention_mask"), labels)
+                batch = batch.set_column(batch.schema.get_field_index("labels"), "labels", masked)
             rows = batch if rest is None else pa.concat_batches([rest, batch])
             full = len(rows) - len(rows) % batch_size
             if full:

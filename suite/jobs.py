@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridprep.functions.text import words
+from gridprep.operators.packed import stored_packed
 from gridprep.plans import jobs as J
 from gridprep.session import shared_folder
 from gridprep.sources.grids import scan_grids
@@ -102,7 +103,7 @@ BATCH_CODES = {
 def batches_job(spark, sf):
     train, vocab = training_table(spark, sf)
     # as it would be read back from a stored version
-    batches, _, _ = J.training_to_batches(train.checkpoint(), vocab)
+    batches, _, _ = J.training_to_batches(stored_packed(train, "train"), vocab)
     return batches.select(
         "batch", "n", X.as_text("identity_idx").alias("identity_idx"), X.as_text("color_shift").alias("color_shift"),
         X.as_text("type1").alias("type1"), X.as_text("generation").alias("generation"),
