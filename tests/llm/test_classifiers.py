@@ -125,3 +125,42 @@ def test_logistic_regression_finds_the_signs():
     data = logistic.Rows(np.repeat(np.arange(500), 2), np.tile([0, 1], 500), x.ravel(), 500, 2)
     weights, _ = logistic.fit(data, (x[:, 0] > x[:, 1]).astype(float))
     assert weights[0] > 1 and weights[1] < -1
+
+
+def test_quality_learns_from_every_label(spark):
+    """Bad texts of a kind of their own among the ids that stay out of the 20,000 with the smallest hashes."""
+    ids = spark.range(21_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    first = toxicity.bounded_sample(ids, "quality", toxicity.SAMPLE).select("doc_id", F.lit(True).alias("first"))
+    kinds = ids.join(first, "doc_id", "left").select("doc_id", F.coalesce("first", F.lit(False)).alias("first"), "quality")
+    late = ~F.col("first") & (F.col("doc_id") % 2 == 0)
+    text = F.when(late, F.lit("SHOUTED WORDS OF A LATE TEXT")).when(F.col("quality") == 1, F.lit("plain words of a good text")).otherwise(F.lit("1234 5678 90 1234 5 678"))
+    docs = kinds.select("doc_id", text.alias("text"), "quality").checkpoint()
+    model = quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    texts = spark.createDataFrame([(1, "SHOUTED WORDS OF A LATE TEXT"), (2, "plain words of a good text")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in quality.score(texts, model).collect()}
+    assert score[1] < quality.CUT <= score[2]
+
+
+def test_newton_finds_the_least_loss(spark):
+    """The slopes of the penalised mean loss are zero, over several tasks; a free weight carries no penalty."""
+    random = np.random.default_rng(2)
+    x = random.standard_normal((300, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + random.standard_normal(300) > 0.7).astype(int)
+    table = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int").repartition(5)
+
+    def design(batch):
+        a, b, label = (batch.column(i).to_numpy() for i in range(3))
+        yield np.stack([a, b, np.ones(len(a))], axis=1), label
+
+    w = logistic.fit_table(table, design, 300, 3, 0.01, free=1)
+    full = np.column_stack([x, np.ones(300)])
+    slopes = full.T @ (logistic.sigmoid(full @ w) - y) / 300 + np.array([0.01, 0.01, 0]) * w
+    assert np.abs(slopes).max() < 1e-6 and w[0] > 0 > w[1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 30_011])
+def test_quantiles_are_those_of_numpy(spark, n):
+    values = np.round(np.random.default_rng(n).standard_normal(n), 2)
+    table = spark.createDataFrame([(float(v), 3) for v in values], "v double, g int").repartition(6)
+    shares = np.array([0.2, 0.4, 0.5, 0.8123])
+    assert quality._quantiles(table, "v", n, shares, "g")[3] == pytest.approx(np.quantile(values, shares), abs=1e-12)
