@@ -141,7 +141,8 @@ def log_samples(spark, sf):
 def log_files(spark, sf):
     """Logs as files, many documents in each."""
     folder = shared_folder(spark, "logs")
-    X.from_sql(spark, sf, LOG_LINES, "documents").repartition(5).write.text(folder)
+    logs = X.from_sql(spark, sf, LOG_LINES, "documents")
+    logs.repartition(max(5, logs.rdd.getNumPartitions()), "value").write.text(folder)
     return scrape_log(scan_log(spark, folder))
 
 
