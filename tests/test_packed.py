@@ -3,8 +3,10 @@
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+import gridprep.operators.batches as module
 from gridprep.operators.batches import collate
 from gridprep.operators.packed import PACKED, Packed, pack_arrays, stored_packed
 
@@ -63,8 +65,10 @@ def test_batches_of_long_arrays_lie_small(spark):
     assert found == [(ids, ids) for _, ids in sorted(rows)]
 
 
-def test_packed_rows_give_the_same_batches(spark):
-    """Labels are made behind the sort then, also where arrays are null, have gaps or differ in length."""
+@pytest.mark.parametrize("per_range", [7, 4096])
+def test_packed_rows_give_the_same_batches(spark, monkeypatch, per_range):
+    """Batches lie in one range or span several. Labels are made behind the sort then, also where arrays are null, have gaps or differ in length."""
+    monkeypatch.setattr(module, "ROWS_PER_RANGE", per_range)
     kinds = "name int, input_ids array<int>, attention_mask array<tinyint>, labels array<int>, extra string"
     odd = [([1, 2, None], [1, 0, None]), (None, [1]), ([5, 6], None), ([7, 8], [0]), ([9], [1, 0, 0]), ([], []), ([3, 4], [0, 1])]
     fields = [(c, c, None) for c in ("input_ids", "labels", "attention_mask")]
@@ -73,3 +77,16 @@ def test_packed_rows_give_the_same_batches(spark):
         plain_rows, packed_rows = (sorted(map(tuple, collate(t, ["name"], 4, fields).collect())) for t in (df, stored_packed(df)))
         assert plain_rows == packed_rows and len(plain_rows) == -(-len(rows) // 4)
         assert plain_rows[0][3][0] == [1, -100, None]
+        assert [ids for r in plain_rows for ids in r[2]] == [ids for ids, _ in rows]
+
+
+def test_batches_of_null_and_equal_keys_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(module, "ROWS_PER_RANGE", 10)
+    rows = [(None if i % 9 == 0 else i % 23, i, [i, None]) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, a int, l array<int>")
+    found = sorted(map(tuple, collate(df, ["k"], 16, [("k", "k", None), ("a", "a", None), ("l", "l", None)]).collect()))
+    assert [(r[0], r[1]) for r in found] == [(i, 16 if i < 31 else 4) for i in range(32)]
+    keys = [k for r in found for k in r[2]]
+    assert keys == sorted((k for k, _, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert sorted(a for r in found for a in r[3]) == list(range(500))
+    assert all(pair == [a, None] for r in found for a, pair in zip(r[3], r[4]))
